@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import chat, decontam, licenses, near_dedup, quality_classifier, quality_rules, substring, toxicity
+from newsloom.llm import chat, decontam, licenses, lm, near_dedup, quality_classifier, quality_rules, substring, toxicity
 from newsloom.storage import table
 
 HARD_TURN = "<|im_end|><|im_start|>assistant ok"
@@ -48,6 +48,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
 
 
+def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -57,4 +61,5 @@ QUERIES = {
     "op7_quality_classifier": op7_quality_classifier,
     "op8_chat_format": op8_chat_format,
     "op9_license_scan": op9_license_scan,
+    "op10_context_tree": op10_context_tree,
 }
