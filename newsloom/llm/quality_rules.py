@@ -51,6 +51,13 @@ RULES = (
 )
 
 
+#: What the operator adds.
+MEASURES = (
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "mean_word_chars", "symbols_per_word", "shouts_per_word",
+    "stop_share", "dup_line_share", "adjacent_repeat_share", "base_failed", "failed_rules", "kept",
+)
+
+
 def _ratio(a: Column | str, b: Column | str) -> Column:
     return F.col(a) / F.greatest(F.col(b), F.lit(1)) if isinstance(a, str) else a / F.greatest(b, F.lit(1))
 
@@ -147,8 +154,11 @@ def compile_rules(rules: tuple[Rule, ...]) -> Column:
 def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", min_words: int = 20, most_repeated: int = 30) -> DataFrame:
     """Documents with base counts, ``base_failed``, ``failed_rules`` and the verdict ``kept``."""
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
-    return (
+    judged = (
         measures(docs, text)
         .withColumns({"base_failed": base, "failed_rules": compile_rules(rules)})
         .withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
     )
+    own = [c for c in judged.columns if c in MEASURES]
+    # results pass a generator, or a filter on them would be pushed down and every measure written out anew inside it
+    return judged.select(*[c for c in judged.columns if c not in MEASURES], F.inline(F.array(F.struct(*own))))
