@@ -90,12 +90,14 @@ class Bench:
         row = np.searchsorted(w.bounds, maybe, "right") - 1
         within = maybe + self.min_match <= w.bounds[row + 1]
         maybe, left, right, row = maybe[within], left[within], right[within], row[within]
+        if not len(maybe):
+            return
         n = right - left
         which = np.repeat(left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         rows, spots, items, places = np.repeat(row, n), np.repeat(maybe, n), self.item[which], self.place[which]
         order = np.lexsort((spots, items, rows))
         rows, spots, items, places = rows[order], spots[order], items[order], places[order]
-        cuts = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (items[1:] != items[:-1])])) if len(rows) else []
+        cuts = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (items[1:] != items[:-1])]))
         for s, e in zip(cuts, np.append(cuts[1:], len(rows)), strict=True):
             item = self.items[items[s]]
             # each place covers at most min_match words: too few places can't reach the threshold
