@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,3 +25,15 @@ def cut(df: DataFrame) -> DataFrame:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="newsloom-"))
     return df.checkpoint(eager=True)
+
+
+def only(rows: DataFrame, ids: DataFrame, column: str, most: int = 500_000) -> DataFrame:
+    """Rows whose ``column`` is among ``ids`` (one column).
+
+    Up to ``most`` distinct ids, by count, the ids are broadcast and the rows
+    stay where they are; beyond that both sides are shuffled by Spark's join.
+    """
+    name = ids.columns[0]
+    few = ids.where(F.col(name).isNotNull()).distinct().withColumnRenamed(name, "__only")
+    small = few.limit(most + 1).count() <= most
+    return rows.join(F.broadcast(few) if small else few, rows[column] == few["__only"], "left_semi")
