@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from newsloom.plans import core_a
+
+QUERIES = {**core_a.QUERIES}
+ORACLE = {**core_a.ORACLE}
