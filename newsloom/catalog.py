@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsloom.plans import core_a
+from newsloom.plans import core_a, core_b
 
-QUERIES = {**core_a.QUERIES}
-ORACLE = {**core_a.ORACLE}
+QUERIES = {**core_a.QUERIES, **core_b.QUERIES}
+ORACLE = {**core_a.ORACLE, **core_b.ORACLE}

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import DoubleType
 
 from newsloom.functions import times
 from newsloom.operators.components import connected_components
@@ -68,7 +69,7 @@ def resolve(names: DataFrame, name: str, known: DataFrame, steps: list[tuple[str
     return out.withColumns({"resolved": F.coalesce(*found), "method": F.coalesce(method, F.lit("unresolved"))}).select(*names.columns, "resolved", "method")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks of two strings, as difflib defines it; null if either is null."""
     from difflib import SequenceMatcher
