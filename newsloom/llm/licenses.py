@@ -34,7 +34,7 @@ SPELLINGS = (
     ("whilst", "while"),
     ("wilful", "willful"),
 )
-COPYRIGHT = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+COPYRIGHT = r"(?m)^[^a-z0-9\n©(]*(copyright[ \t]*(\(c\)|©|[0-9]{4})|\(c\)[ \t]*[0-9]{4}|©|all rights reserved)[^\n]*$"
 
 #: Public licence texts and one-line notices by SPDX name.
 KNOWN = (

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from newsloom.llm.chat import END, START
-from newsloom.llm.licenses import KNOWN, MARKS, SPELLINGS
+from newsloom.llm.licenses import COPYRIGHT, KNOWN, MARKS, SPELLINGS
 from newsloom.llm.queries import HARD_TURN
 from newsloom.llm.quality_rules import RULES, STOP_WORDS
 
@@ -66,7 +66,7 @@ from (
 
 
 def _canonical(column: str) -> str:
-    out = f"trim(regexp_replace(regexp_replace(lower({column}), '(?m)^[^a-z0-9\\n]*(copyright|\\(c\\)|©|all rights reserved)[^\\n]*$', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'))"
+    out = f"trim(regexp_replace(regexp_replace(lower({column}), '{COPYRIGHT}', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'))"
     for old, new in SPELLINGS:
         out = f"replace({out}, '{old}', '{new}')"
     return out
