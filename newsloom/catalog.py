@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsloom.plans import core_a, core_b
+from newsloom.plans import core_a, core_b, core_c
 
-QUERIES = {**core_a.QUERIES, **core_b.QUERIES}
-ORACLE = {**core_a.ORACLE, **core_b.ORACLE}
+QUERIES = {**core_a.QUERIES, **core_b.QUERIES, **core_c.QUERIES}
+ORACLE = {**core_a.ORACLE, **core_b.ORACLE, **core_c.ORACLE}
