@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.kernel import Words, mix, sequence_key, shingles, signed, slices
 from newsloom.operators.components import connected_components
-from newsloom.storage import cut
+from newsloom.storage import cut, only
 
 BANDS, ROWS, BATCH = 32, 5, 32
 MISS = 1e-6
@@ -60,42 +60,46 @@ def text_shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     return np.unique(shingles(hashes, min(k, len(hashes))))
 
 
-def signature(base: np.ndarray) -> np.ndarray:
-    """MinHash values of a non-empty set of 64-bit hashes."""
+def signatures(base: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """MinHash values, a row for each non-empty run of 64-bit hashes that begins at ``starts``."""
     x = (base ^ (base >> np.uint64(32))).astype(np.uint32)
-    out = np.empty(len(_MUL), np.uint32)
+    out = np.empty((len(starts), len(_MUL)), np.uint32)
     for i in range(len(_MUL)):
         h = x * _MUL[i]
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x85EBCA6B)
         h ^= _ADD[i]
-        out[i] = h.min()
+        out[:, i] = np.minimum.reduceat(h, starts)
     return out
 
 
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each band of each signature."""
+    rows = sig.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    total = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), rows.shape[:2])
+    with np.errstate(over="ignore"):
+        for j in range(ROWS):
+            total = mix(total + rows[:, :, j], j)
+    return total
+
+
 def _scan(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to, data, offsets in slices(batch):
                 w = Words(data, offsets)
-                keys, sizes, sigs, bands = [], [], [], []
+                keys, sets = [], []
                 for i in range(to - at):
                     own = w.hashes[w.bounds[i] : w.bounds[i + 1]]
-                    base = text_shingles(own, k)
+                    sets.append(text_shingles(own, k))
                     keys.append(sequence_key(own) if len(own) else (0, 0))
-                    sizes.append(len(base))
-                    if len(base):
-                        sig = signature(base)
-                        rows = sig.reshape(BANDS, ROWS).astype(np.uint64)
-                        with np.errstate(over="ignore"):
-                            total = np.arange(BANDS, dtype=np.uint64)
-                            for j in range(ROWS):
-                                total = mix(total + rows[:, j], j)
-                        sigs.append(sig.astype("<u2").tobytes())
-                        bands.append(signed(total).tolist())
-                    else:
-                        sigs.append(b"")
-                        bands.append([])
+                sizes = np.array([len(s) for s in sets])
+                full = np.flatnonzero(sizes)
+                sigs, bands = [b""] * len(sets), [[]] * len(sets)
+                if len(full):
+                    sig = signatures(np.concatenate(sets), (np.cumsum(sizes) - sizes)[full])
+                    for i, own, keyed in zip(full.tolist(), sig.astype("<u2"), signed(band_keys(sig)).tolist(), strict=True):
+                        sigs[i], bands[i] = own.tobytes(), keyed
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(1).slice(at, to - at), pa.array([a for a, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
                     names=["doc_id", "k1", "k2", "n_shingles", "sig", "bands"],
@@ -145,22 +149,32 @@ def _bayes(least: dict[int, int]):
     return run
 
 
-def _blocks(least: dict[int, int]):
-    """Compares one block of minor members with one block of all members of a bucket, across labels."""
+def _blocks(least: dict[int, int], most: int):
+    """Compares one block of minor members with one block of all members of a bucket, across labels.
+
+    Of each minor member's surviving pairs the ``most`` best are given; ``more``
+    says that others were left for a later round.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         ids = table["rep"].to_numpy()
         label, minor = table["label"].to_numpy(), table["side"].to_numpy() == 0
         sig = _matrix(table["sig"].combine_chunks())
-        a, b = [], []
+        a, b, more = [], [], []
         right = np.flatnonzero(~minor)
         for i in np.flatnonzero(minor):
             other = right[label[right] != label[i]]
             stays = other[survives(np.broadcast_to(sig[i], (len(other), sig.shape[1])), sig[other], least)]
-            a += [np.minimum(ids[i], ids[stays])]
-            b += [np.maximum(ids[i], ids[stays])]
+            if len(stays) > most:
+                agree = (sig[stays] == sig[i]).sum(1)
+                stays = stays[np.lexsort((ids[stays], -agree))[:most]]
+                more.append(np.arange(most) == 0)
+            else:
+                more.append(np.zeros(len(stays), bool))
+            a.append(np.minimum(ids[i], ids[stays]))
+            b.append(np.maximum(ids[i], ids[stays]))
         none = np.empty(0, np.int64)
-        return pa.table({"a": pa.array(np.concatenate([none, *a])), "b": pa.array(np.concatenate([none, *b]))})
+        return pa.table({"a": pa.array(np.concatenate([none, *a])), "b": pa.array(np.concatenate([none, *b])), "more": pa.array(np.concatenate([np.empty(0, bool), *more]))})
 
     return run
 
@@ -192,6 +206,8 @@ def _set(text: str, k: int) -> np.ndarray:
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs a, b confirmed on the full shingle sets of their texts."""
+    pairs = cut(pairs)
+    docs = only(docs, pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))), "doc_id")
     return (
         pairs.join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("two")), "b")
         .join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("one")), "a")
@@ -201,6 +217,28 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     )
 
 
+def _crossing(shared: DataFrame, label: DataFrame, sigs: DataFrame, least: dict[int, int], most: int) -> DataFrame:
+    """Surviving pairs across components, from buckets that hold several: members away from the hub's component against all."""
+    known = label.select(F.col("node").alias("__n"), "component")
+    named = shared.join(known, F.col("rep") == F.col("__n"), "left").withColumn("label", F.coalesce("component", "rep")).drop("__n", "component")
+    major = named.where("rep = hub").select(F.col("band").alias("at"), F.col("label").alias("major")).distinct()
+    named = named.join(major, F.col("band") == F.col("at")).drop("at", "hub")
+    open_ = named.groupBy("band").agg(F.count_if(F.col("label") != F.col("major")).alias("minors"), F.count("*").alias("all")).where("minors > 0").withColumnRenamed("band", "at")
+    rest = named.join(open_, F.col("band") == F.col("at")).drop("at")
+    n_minor, n_all = F.ceil(F.col("minors") / BLOCK).cast("int"), F.ceil(F.col("all") / BLOCK).cast("int")
+    place = F.pmod(F.xxhash64("rep"), F.lit(1 << 20)).cast("int")
+    left = rest.where("label <> major").select(
+        "band", (place % n_minor).alias("i"), F.explode(F.sequence(F.lit(0), n_all - 1)).alias("j"), "rep", "label", F.lit(0).alias("side"))
+    right = rest.select(
+        "band", F.explode(F.sequence(F.lit(0), n_minor - 1)).alias("i"), (place % n_all).alias("j"), "rep", "label", F.lit(1).alias("side"))
+    return (
+        left.unionByName(right)
+        .join(sigs.select(F.col("doc_id").alias("rep"), "sig"), "rep")
+        .groupBy("band", "i", "j")
+        .applyInArrow(_blocks(least, most), "a bigint, b bigint, more boolean")
+    )
+
+
 def near_duplicates(docs: DataFrame, setting: Setting = Setting(5, 80)) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``, one row for each row of ``docs``.
 
@@ -234,33 +272,18 @@ def near_duplicates(docs: DataFrame, setting: Setting = Setting(5, 80)) -> DataF
     )
     links = cut(_verified(tested, texts, k, percent))
     label = connected_components(links)
-
-    def labelled(rows: DataFrame, node: str) -> DataFrame:
-        known = label.select(F.col("node").alias("__n"), "component")
-        return rows.join(known, F.col(node) == F.col("__n"), "left").withColumn("label", F.coalesce("component", F.col(node))).drop("__n", "component")
-
-    # buckets that hold several components: members away from the hub's label against all members
-    named = labelled(shared, "rep")
-    major = named.where("rep = hub").select(F.col("band").alias("at"), F.col("label").alias("major")).distinct()
-    named = named.join(major, F.col("band") == F.col("at")).drop("at", "hub")
-    open_ = named.groupBy("band").agg(F.count_if(F.col("label") != F.col("major")).alias("minors"), F.count("*").alias("all")).where("minors > 0").withColumnRenamed("band", "at")
-    rest = named.join(open_, F.col("band") == F.col("at")).drop("at")
-    n_minor, n_all = F.ceil(F.col("minors") / BLOCK).cast("int"), F.ceil(F.col("all") / BLOCK).cast("int")
-    place = F.pmod(F.xxhash64("rep"), F.lit(1 << 20)).cast("int")
-    left = rest.where("label <> major").select(
-        "band", (place % n_minor).alias("i"), F.explode(F.sequence(F.lit(0), n_all - 1)).alias("j"), "rep", "label", F.lit(0).alias("side"))
-    right = rest.select(
-        "band", F.explode(F.sequence(F.lit(0), n_minor - 1)).alias("i"), (place % n_all).alias("j"), "rep", "label", F.lit(1).alias("side"))
-    crossing = (
-        left.unionByName(right)
-        .join(sigs.select(F.col("doc_id").alias("rep"), "sig"), "rep")
-        .groupBy("band", "i", "j")
-        .applyInArrow(_blocks(least), "a bigint, b bigint")
-        .distinct()
-        .join(star, ["a", "b"], "left_anti")
-    )
-    more = cut(_verified(crossing, texts, k, percent))
-    label = connected_components(links.unionByName(more)).select(F.col("node").alias("__n"), "component")
+    done, most = star, 2
+    while True:
+        crossing = cut(_crossing(shared, label, sigs, least, most))
+        fresh = crossing.select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
+        more = cut(_verified(fresh, texts, k, percent))
+        if more.limit(1).count():
+            links = links.unionByName(more)
+            label = connected_components(links)
+        if not crossing.where("more").limit(1).count():
+            break
+        done, most = done.unionByName(fresh), 4 * most
+    label = label.select(F.col("node").alias("__n"), "component")
     classes = reps.join(label, F.col("rep") == F.col("__n"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     return (
         scan.select("doc_id", "k1", "k2", "n_shingles")
