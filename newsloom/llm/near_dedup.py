@@ -161,10 +161,12 @@ def _blocks(least: dict[int, int], most: int):
         label, minor = table["label"].to_numpy(), table["side"].to_numpy() == 0
         sig = _matrix(table["sig"].combine_chunks())
         a, b, more = [], [], []
-        right = np.flatnonzero(~minor)
+        right, bucket = np.flatnonzero(~minor), table["pos"][0].as_py() if len(ids) else 0
         for i in np.flatnonzero(minor):
             other = right[label[right] != label[i]]
             stays = other[survives(np.broadcast_to(sig[i], (len(other), sig.shape[1])), sig[other], least)]
+            # a pair counts in the first of its common bands only
+            stays = stays[(sig[stays] == sig[i]).reshape(-1, BANDS, ROWS).all(2).argmax(1) == bucket]
             if len(stays) > most:
                 agree = (sig[stays] == sig[i]).sum(1)
                 stays = stays[np.lexsort((ids[stays], -agree))[:most]]
@@ -228,9 +230,9 @@ def _crossing(shared: DataFrame, label: DataFrame, sigs: DataFrame, least: dict[
     n_minor, n_all = F.ceil(F.col("minors") / BLOCK).cast("int"), F.ceil(F.col("all") / BLOCK).cast("int")
     place = F.pmod(F.xxhash64("rep"), F.lit(1 << 20)).cast("int")
     left = rest.where("label <> major").select(
-        "band", (place % n_minor).alias("i"), F.explode(F.sequence(F.lit(0), n_all - 1)).alias("j"), "rep", "label", F.lit(0).alias("side"))
+        "band", "pos", (place % n_minor).alias("i"), F.explode(F.sequence(F.lit(0), n_all - 1)).alias("j"), "rep", "label", F.lit(0).alias("side"))
     right = rest.select(
-        "band", F.explode(F.sequence(F.lit(0), n_minor - 1)).alias("i"), (place % n_all).alias("j"), "rep", "label", F.lit(1).alias("side"))
+        "band", "pos", F.explode(F.sequence(F.lit(0), n_minor - 1)).alias("i"), (place % n_all).alias("j"), "rep", "label", F.lit(1).alias("side"))
     return (
         left.unionByName(right)
         .join(sigs.select(F.col("doc_id").alias("rep"), "sig"), "rep")
@@ -258,10 +260,10 @@ def near_duplicates(docs: DataFrame, setting: Setting = Setting(5, 80)) -> DataF
 
     members = (
         linkable.join(reps.withColumnsRenamed({"k1": "r1", "k2": "r2"}), (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")) & (F.col("doc_id") == F.col("rep")))
-        .select("rep", F.explode("bands").alias("band"))
+        .select("rep", F.posexplode("bands").alias("pos", "band"))
     )
     hubs = members.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top").select(F.col("band").alias("at"), "hub")
-    shared = cut(members.join(hubs, F.col("band") == F.col("at")).select("band", "hub", "rep"))
+    shared = cut(members.join(hubs, F.col("band") == F.col("at")).select("band", "pos", "hub", "rep"))
     star = shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     tested = (
         star.join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b"), F.col("n_shingles").alias("n_b")), "b")
@@ -282,7 +284,7 @@ def near_duplicates(docs: DataFrame, setting: Setting = Setting(5, 80)) -> DataF
             label = connected_components(links)
         if not crossing.where("more").limit(1).count():
             break
-        done, most = done.unionByName(fresh), 4 * most
+        done, most = done.unionByName(fresh), 16 * most
     label = label.select(F.col("node").alias("__n"), "component")
     classes = reps.join(label, F.col("rep") == F.col("__n"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     return (
