@@ -70,7 +70,9 @@ def sitemap(bodies: DataFrame, prefix: str | None = None, skip: str = r"(?i)summ
 def json_api(bodies: DataFrame, cap: int = CAP) -> DataFrame:
     """A JSON list, or an object with the list under Data, data or items; Chinese morning/afternoon times."""
     item = "array<struct<Title:string,URL:string,PublishDate:string,Description:string>>"
-    whole = F.coalesce(F.from_json("body", item), F.from_json(F.coalesce(*[F.get_json_object("body", f"$.{k}") for k in ("Data", "data", "items")]), item))
+    inner = F.coalesce(*[F.get_json_object("body", f"$.{k}") for k in ("Data", "data", "items")])
+    # an object read as a list would be one empty entry
+    whole = F.from_json(F.when(F.ltrim("body").startswith("["), F.col("body")).otherwise(inner), item)
     items = bodies.select("source_id", F.posexplode(whole).alias("seq", "i"))
     return _numbered(items.select("source_id", "seq", F.col("i.Title").alias("title"), F.col("i.URL").alias("url"), half_day_time(F.col("i.PublishDate")).alias("published"), F.col("i.Description").alias("summary")), cap)
 
