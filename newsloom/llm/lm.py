@@ -163,7 +163,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = {
             "chunk": pa.array([name], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int64())), "lengths": pa.array([[len(t) for t in texts]], pa.list_(pa.int64())),
             "body": pa.array([packer.compress(body)], pa.binary()),
-            **{n: pa.array([x.astype("<i8").tobytes()], pa.binary()) for n, x in (("words", signed(words)), ("n_words", n_words), ("grams", grams), ("n_grams", n_grams))},
+            **{n: pa.array([packer.compress(x.astype("<i8").tobytes())], pa.binary()) for n, x in (("words", signed(words)), ("n_words", n_words), ("grams", grams), ("n_grams", n_grams))},
         }
         return pa.RecordBatch.from_pydict(columns)
 
@@ -180,11 +180,12 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield packed(ids, texts)
 
 
-def _unpack(kind: str):
+def _unpack():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = zstandard.ZstdDecompressor()
         for batch in batches:
             for i in range(batch.num_rows):
-                keys, counts = (np.frombuffer(batch.column(c)[i].as_buffer(), "<i8") for c in (1, 2))
+                keys, counts = (np.frombuffer(opened.decompress(batch.column(c)[i].as_py()), "<i8") for c in (1, 2))
                 for at in range(0, len(keys), 50_000):
                     part = keys[at : at + 50_000]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), batch.column(0)[i].as_py())), pa.array(part), pa.array(counts[at : at + 50_000])], names=["chunk", "key", "n"])
@@ -288,8 +289,8 @@ def score_texts(docs: DataFrame) -> DataFrame:
     base = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"), F.col("doc_id").cast("bigint").alias("doc_id"))
     chunks = cut(base.mapInArrow(_chunks, "chunk bigint, ids array<bigint>, lengths array<bigint>, body binary, words binary, n_words binary, grams binary, n_grams binary"))
     rows = "chunk bigint, key bigint, n bigint"
-    words = chunks.select("chunk", "words", "n_words").mapInArrow(_unpack("words"), rows)
-    grams = chunks.select("chunk", "grams", "n_grams").mapInArrow(_unpack("grams"), rows)
+    words = chunks.select("chunk", "words", "n_words").mapInArrow(_unpack(), rows)
+    grams = chunks.select("chunk", "grams", "n_grams").mapInArrow(_unpack(), rows)
     totals = words.groupBy("key").agg(F.sum("n").alias("c"))
     counted = totals.agg(F.count_if(F.col("c") > 0).alias("v"), F.sum("c").alias("n")).first()
     held = F.udf(held_out, "boolean", useArrow=True)
