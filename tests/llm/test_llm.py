@@ -122,6 +122,34 @@ def test_repeated_passages_cover_all_shared_windows(spark, corpus):
     assert not set(covered) & set(range(40)), "clean documents stay alone"
 
 
+def signs(texts, group, first, n):
+    """Whether every 50-word stretch of texts[1] in its n words from ``first`` has a signature of texts[0] as well."""
+    keys = []
+    for t in texts:
+        raw = t.encode()
+        w = kernel.Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)], np.int64))
+        x = kernel.shingles(w.hashes, substring.SHINGLE)
+        keys.append(substring.joined_windows(x, np.array([0, len(x)]), group, 46)[:3])
+    return all(k in keys[0][0] for k, low, high in zip(*keys[1]) if low <= first + n - 50 and high >= first + 45)
+
+
+def test_passages_beyond_a_hub_that_is_not_similar(spark):
+    found = 0
+    for seed in range(12):
+        r = random.Random(seed)
+        phrase = prose(r, 44)
+        passage = f"{prose(r, 3)} {phrase} {prose(r, 3)}"
+        texts = [f"{prose(r, 60)} {phrase} {prose(r, 60)}", *(f"{prose(r, 10)} {passage} {prose(r, 10)}" for _ in range(2))]
+        if not signs(texts, (101, 102), 10, 50):
+            continue
+        found += 1
+        rows = substring.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), groups=((101, 102),)).collect()
+        assert [(x["other_id"], x["doc_id"], x["n_words"]) for x in rows] == [(1, 2, 50)]
+        if found == 2:
+            break
+    assert found
+
+
 def test_removing_repeats_keeps_the_rest(spark, corpus):
     docs, texts = corpus
     left = {r["doc_id"]: r for r in substring.remove_repeats(docs).collect()}
