@@ -130,7 +130,7 @@ def signs(texts, group, first, n):
         w = kernel.Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)], np.int64))
         x = kernel.shingles(w.hashes, substring.SHINGLE)
         keys.append(substring.joined_windows(x, np.array([0, len(x)]), group, 46)[:3])
-    return all(k in keys[0][0] for k, low, high in zip(*keys[1]) if low <= first + n - 50 and high >= first + 45)
+    return all(k in keys[0][0] for k, low, high in zip(*keys[1], strict=True) if low <= first + n - 50 and high >= first + 45)
 
 
 def test_passages_beyond_a_hub_that_is_not_similar(spark):
@@ -150,6 +150,24 @@ def test_passages_beyond_a_hub_that_is_not_similar(spark):
     assert found
 
 
+def test_overlapping_copies_of_a_found_passage(spark):
+    found = 0
+    for seed in range(30):
+        r = random.Random(seed)
+        w = prose(r, 80).split()
+        one, two, three = " ".join(w[:60]), " ".join(w), " ".join(w[20:])
+        texts = [f"{prose(r, 30)} {one} {prose(r, 30)}", f"{prose(r, 30)} {two} {prose(r, 30)}", f"{prose(r, 30)} {three} {prose(r, 30)}"]
+        # the passage of the last two is signed as the first text is
+        if not signs([texts[0], texts[1]], (101, 102), 50, 60):
+            continue
+        found += 1
+        rows = substring.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), groups=((101, 102),)).collect()
+        assert sorted((x["other_id"], x["doc_id"], x["n_words"]) for x in rows) == [(0, 1, 60), (1, 2, 60)]
+        if found == 2:
+            break
+    assert found
+
+
 def test_removing_repeats_keeps_the_rest(spark, corpus):
     docs, texts = corpus
     left = {r["doc_id"]: r for r in substring.remove_repeats(docs).collect()}
