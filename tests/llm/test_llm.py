@@ -168,6 +168,30 @@ def test_overlapping_copies_of_a_found_passage(spark):
     assert found
 
 
+def test_passages_of_texts_that_repeat_themselves():
+    r = np.random.default_rng(5)
+    lost = 0
+    for n in range(200):
+        lines = [r.integers(1, 1 << 60, int(r.integers(8, 40))).astype(np.uint64) for _ in range(6)]
+        text = lambda k: np.concatenate([lines[i] if r.random() < 0.7 else r.integers(1, 1 << 60, 12).astype(np.uint64) for i in r.integers(0, 6, k)])
+        a, b = text(14), text(9)
+        if n % 2:
+            # the first half of the passage also stands far away in a
+            p = r.integers(1, 1 << 60, 56).astype(np.uint64)
+            other = [r.integers(1, 1 << 60, 90).astype(np.uint64) for _ in range(5)]
+            a, b = np.concatenate([p[:28], other[0], other[1], p, other[2]]), np.concatenate([other[3], p, other[4]])
+        grams = {tuple(a[i : i + 50].tolist()) for i in range(len(a) - 49)}
+        need = [j for j in range(len(b) - 49) if tuple(b[j : j + 50].tolist()) in grams]
+        got = substring.passages(a, b, 50, 5, 80)
+        covered = {i for s, e, *_ in got for i in range(s, e)}
+        assert all(set(range(j, j + 50)) <= covered for j in need), n
+        lost += bool(need)
+        for s, e, low, high in got:
+            one, two = ({tuple(x[i : i + 5].tolist()) for i in range(f, t - 4)} for x, f, t in ((b, s, e), (a, low, high)))
+            assert e - s >= 50 and 100 * len(one & two) >= 80 * len(one | two)
+    assert lost > 100
+
+
 def test_removing_repeats_keeps_the_rest(spark, corpus):
     docs, texts = corpus
     left = {r["doc_id"]: r for r in substring.remove_repeats(docs).collect()}
