@@ -192,6 +192,20 @@ def test_passages_of_texts_that_repeat_themselves():
     assert lost > 100
 
 
+def test_edited_passages_are_candidates():
+    r = np.random.default_rng(17)
+    n, both, least = 2_000, 0, substring.WORDS - substring.SHINGLE + 1
+    for _ in range(n):
+        a = r.integers(1, 1 << 60, 50).astype(np.uint64)
+        b = a.copy()
+        b[r.integers(5, 45)] = 7  # 41 of 51 shingles stay
+        x, y = (kernel.shingles(w, substring.SHINGLE) for w in (a, b))
+        assert substring.passages(a, b, 50, 5, 80) == [(0, 50, 0, 50)]
+        keys = lambda z, g: set(substring.joined_windows(z, np.array([0, len(z)]), g, least)[0].tolist())
+        both += any(keys(x, g) & keys(y, g) for g in substring.GROUPS)
+    assert both >= 0.997 * n
+
+
 def test_removing_repeats_keeps_the_rest(spark, corpus):
     docs, texts = corpus
     left = {r["doc_id"]: r for r in substring.remove_repeats(docs).collect()}
