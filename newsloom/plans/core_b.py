@@ -363,11 +363,21 @@ def _merging(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 @query("""with t as (select p_partkey as id, list_distinct(regexp_extract_all(lower(p_name || ' ' || p_brand || ' ' || p_type), '[a-z0-9#]+')) as s from part where p_size <= 4)
 select a.id as a, b.id as b, len(list_intersect(a.s, b.s))::bigint as common, (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))::bigint as union_size from t a join t b on a.id < b.id where 100 * len(list_intersect(a.s, b.s)) >= 60 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))""")
 def token_jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Similar parts among the small ones (the definition's own condition), by prefix filtering."""
-    p = table(spark, d, "part").where("p_size <= 4").select("p_partkey", F.regexp_extract_all(F.lower(F.concat_ws(" ", "p_name", "p_brand", "p_type")), F.lit("[a-z0-9#]+"), F.lit(0)).alias("tokens"))
+    """Similar parts among the small ones, the subset of its SQL; ``token_jaccard_pairs_whole`` takes all parts."""
+    return _similar_parts(table(spark, d, "part").where("p_size <= 4"))
+
+
+def _similar_parts(part: DataFrame) -> DataFrame:
+    p = part.select("p_partkey", F.regexp_extract_all(F.lower(F.concat_ws(" ", "p_name", "p_brand", "p_type")), F.lit("[a-z0-9#]+"), F.lit(0)).alias("tokens"))
     return match.jaccard_pairs(p, "p_partkey", F.col("tokens"), 60)
 
 
+@query()
+def token_jaccard_pairs_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Similar parts of the whole table, by prefix filtering."""
+    return _similar_parts(table(spark, d, "part"))
+
+
 @query("""with p as (select p_partkey as id, p_brand as br, p_type as ty, p_size as sz, p_retailprice as pr, p_name as nm from part),
 s as (select a.id as candidate, b.id as fact, round(0.20 * case when abs(a.sz - b.sz) <= 1 then 1.0 when abs(a.sz - b.sz) <= 7 then 0.7 when abs(a.sz - b.sz) <= 30 then 0.3 else 0.0 end + 0.25 * (a.br = b.br)::int + 0.15 * (a.ty = b.ty)::int + 0.20 * (a.nm = b.nm)::int + 0.15 * (abs(a.pr - b.pr) < 10)::int + 0.05 * (a.id % 10 = b.id % 10)::int, 4) as score from p a join p b on a.br = b.br and a.id <> b.id)
 select *, row_number() over (partition by candidate order by score desc, fact)::bigint as rank, case when score >= 0.9 then 'likely_duplicate' when score >= 0.65 then 'possible_duplicate' else 'no_match' end as action from s qualify rank <= 5""")
@@ -383,20 +393,34 @@ _EDGES = """with recursive t as (select p_partkey as id, list_distinct(regexp_ex
 e as (select a.id as a, b.id as b from t a join t b on a.id <> b.id where 100 * len(list_intersect(a.s, b.s)) >= 70 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) and len(list_intersect(a.s, b.s)) >= 2)"""
 
 
-def _part_edges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    p = table(spark, d, "part").where("p_size <= 3").select("p_partkey", F.regexp_extract_all(F.lower(F.concat_ws(" ", "p_name", "p_type")), F.lit("[a-z0-9#]+"), F.lit(0)).alias("tokens"))
+def _part_edges(part: DataFrame) -> tuple[DataFrame, DataFrame]:
+    p = part.select("p_partkey", F.regexp_extract_all(F.lower(F.concat_ws(" ", "p_name", "p_type")), F.lit("[a-z0-9#]+"), F.lit(0)).alias("tokens"))
     return p, match.jaccard_pairs(p, "p_partkey", F.col("tokens"), 70).where("common >= 2").select("a", "b")
 
 
 @query(_EDGES + ", r as (select id, id as m from t union select r.id, e.b from r join e on e.a = r.m) select id as p_partkey, min(m) as cluster from r group by id")
 def near_dup_components(spark: SparkSession, d: str) -> DataFrame:
-    p, edges = _part_edges(spark, d)
+    """Components of the small parts, the subset of its SQL; ``near_dup_components_whole`` takes all parts."""
+    p, edges = _part_edges(table(spark, d, "part").where("p_size <= 3"))
+    return match.component_clusters(p, "p_partkey", edges)
+
+
+@query()
+def near_dup_components_whole(spark: SparkSession, d: str) -> DataFrame:
+    p, edges = _part_edges(table(spark, d, "part"))
     return match.component_clusters(p, "p_partkey", edges)
 
 
+@query()
+def near_dup_components_day(spark: SparkSession, d: str) -> DataFrame:
+    """Components of events that are similar and at most 24 hours apart."""
+    e = table(spark, d, "events").withColumn("tokens", F.regexp_extract_all(F.lower(F.concat_ws(" ", "event_type", F.concat(F.lit("user"), F.col("user_id")), "props")), F.lit("[a-z0-9#]+"), F.lit(0)))
+    return match.component_clusters(e, "event_id", match.similar_within(e, "event_id", "ts", "tokens", 24, 70, 2))
+
+
 @query()
 def near_dup_cliques(spark: SparkSession, d: str) -> DataFrame:
-    p, edges = _part_edges(spark, d)
+    p, edges = _part_edges(table(spark, d, "part"))
     return match.clique_clusters(p.withColumn("seq", F.col("p_partkey")), "p_partkey", "seq", edges)
 
 

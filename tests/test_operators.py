@@ -1,11 +1,15 @@
 import datetime as dt
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from newsloom.functions import text, times, urls
 from newsloom.operators import components, dedup, match, ranking, rules
+from newsloom.plans import core_b
 from newsloom.sources import feeds
+from newsloom.storage import table
+from tests.conftest import DATA
 
 
 def one(spark, column):
@@ -97,6 +101,39 @@ def test_jaccard_pairs_equal_all_pairs(spark):
     assert found == {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 60 * len(sets[a] | sets[b])}
 
 
+def test_similar_parts_of_the_whole_table(spark):
+    parts = {r["p_partkey"]: r for r in table(spark, DATA, "part").collect()}
+    tokens = lambda *c: {i: set(re.findall("[a-z0-9#]+", " ".join(r[x] for x in c).lower())) for i, r in parts.items()}
+    pairs = lambda s, t: {(a, b) for a in s for b in s if a < b and 100 * len(s[a] & s[b]) >= t * len(s[a] | s[b])}
+    assert {(r["a"], r["b"]) for r in core_b.token_jaccard_pairs_whole(spark, DATA).collect()} == pairs(tokens("p_name", "p_brand", "p_type"), 60)
+    s = tokens("p_name", "p_type")
+    near = {(a, b) for a, b in pairs(s, 70) if len(s[a] & s[b]) >= 2}
+    label = {i: i for i in parts}
+    for _ in parts:
+        for a, b in near:
+            label[a] = label[b] = min(label[a], label[b])
+    assert dict(map(tuple, core_b.near_dup_components_whole(spark, DATA).collect())) == label
+    clusters = []
+    for i in sorted(parts):
+        home = next((c for c in clusters if all((m, i) in near for m in c)), None)
+        clusters.append([i]) if home is None else home.append(i)
+    assert dict(map(tuple, core_b.near_dup_cliques(spark, DATA).select("p_partkey", "cluster").collect())) == {m: c[0] for c in clusters for m in c}
+
+
+def test_similar_events_within_a_day(spark):
+    events = {r["event_id"]: r for r in table(spark, DATA, "events").collect()}
+    s = {i: {r["event_type"].lower(), f"user{r['user_id']}", *re.findall("[a-z0-9#]+", r["props"].lower())} for i, r in events.items()}
+    near = [(a, b) for a in s for b in s if a < b and len(s[a] & s[b]) >= 2 and 100 * len(s[a] & s[b]) >= 70 * len(s[a] | s[b]) and abs(events[a]["ts"] - events[b]["ts"]) <= dt.timedelta(days=1)]
+    label = {i: i for i in events}
+    for _ in range(len(near) + 1):
+        before = dict(label)
+        for a, b in near:
+            label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            break
+    assert dict(map(tuple, core_b.near_dup_components_day(spark, DATA).collect())) == label
+
+
 def test_merge_keeps_terminal_rows(spark):
     old = spark.createDataFrame([(1, "open"), (2, "published")], "k long, s string")
     new = spark.createDataFrame([(1, "closed"), (2, "closed"), (3, "open")], "k long, s string")
