@@ -371,6 +371,22 @@ def test_licenses_match_in_any_spelling(spark):
     assert all(any(m in body.lower() for m in licenses.MARKS) for _, body in licenses.KNOWN)
 
 
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+%s
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+
+def test_whole_licence_texts_are_known(spark):
+    clause = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    rows = [(1, "BSD 3-Clause License\n\nCopyright (c) 2021, Someone\n\n" + BSD % clause), (2, "Copyright 2021 Someone\n" + BSD % ""), (3, BSD % "x")]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), licenses.known_licenses(spark)).collect()}
+    assert got == {1: "BSD-3-Clause", 2: "BSD-2-Clause", 3: None}
+    names = {n for n, _ in licenses.DIGESTS}
+    assert {"Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "MPL-2.0", "Unlicense"} <= names
+
+
 def test_quality_rules_edges(spark):
     rows = [(1, None), (2, ""), (3, "of the word is " * 8), (4, "the of and to in is it that for with this on are by be as was at or from once " * 1), (5, "a ### b ### c $$$ " * 10)]
     got = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_words", F.lit("clash"))).where("doc_id > 0").collect()}
