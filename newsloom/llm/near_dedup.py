@@ -97,8 +97,9 @@ def _scan(k: int):
                 full = np.flatnonzero(sizes)
                 sigs, bands = [b""] * len(sets), [[]] * len(sets)
                 if len(full):
-                    sig = signatures(np.concatenate(sets), (np.cumsum(sizes) - sizes)[full])
-                    for i, own, keyed in zip(full.tolist(), sig.astype("<u2"), signed(band_keys(sig)).tolist(), strict=True):
+                    # buckets and comparisons see the same 16 bits, so that they agree on common bands
+                    sig = signatures(np.concatenate(sets), (np.cumsum(sizes) - sizes)[full]).astype("<u2")
+                    for i, own, keyed in zip(full.tolist(), sig, signed(band_keys(sig)).tolist(), strict=True):
                         sigs[i], bands[i] = own.tobytes(), keyed
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(1).slice(at, to - at), pa.array([a for a, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],

@@ -8,6 +8,7 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +94,14 @@ def test_near_duplicates_link_beyond_hubs(spark, monkeypatch):
     assert {x["doc_id"]: x["component_id"] for x in got} == want
 
 
+def test_bands_come_from_the_kept_signatures():
+    r = random.Random(2)
+    batch = pa.RecordBatch.from_arrays([pa.array([prose(r, 60) for _ in range(20)]), pa.array(range(20), pa.int64())], names=["text", "doc_id"])
+    for out in near_dedup._scan(5)([batch]):
+        keys = kernel.signed(near_dedup.band_keys(near_dedup._matrix(out["sig"])))
+        assert out["bands"].to_pylist() == keys.tolist()
+
+
 def test_sequential_test_keeps_pairs_at_the_threshold():
     least, r = near_dedup.least_matches(80), np.random.default_rng(4)
     n = near_dedup.BANDS * near_dedup.ROWS
