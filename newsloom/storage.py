@@ -13,6 +13,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of one Arrow batch that goes to a Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Bounds the session's Arrow batches by bytes, as rows alone don't bound batches of long texts.
+
+    A smaller bound that the session has stays; a plan takes the bound when it runs.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    known = int(now[:-1]) if now and now[:-1].isdigit() and now.endswith("b") else None
+    if known is None and now and now.isdigit():
+        known = int(now)
+    if known is None or known <= 0 or known > most:
+        spark.conf.set(key, str(most))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage with a reliable checkpoint in the cluster's shared folder.
 
