@@ -27,13 +27,14 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from newsloom.llm.kernel import SLICE, Words, signed
-from newsloom.storage import cut
+from newsloom.storage import bounded_batches, cut
 
 DEPTH = 4
-CHUNK = 16 << 20
+CHUNK = 8 << 20
+#: Bytes whose grams are sorted at once.
+SPAN = 1 << 18
 END = b"\n"
 SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
@@ -64,87 +65,63 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([none, *hashes]), np.concatenate([[0], np.cumsum(np.concatenate([np.empty(0, np.int64), *counts]))]).astype(np.int64)
 
 
-class Grams:
-    """(D+1)-grams of chunked texts as dense places: context number * 256 + byte.
+def _spans(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, gram) of each byte of the texts, about ``SPAN`` bytes at a time; a gram is the D bytes before, then the byte.
 
-    Contexts are numbered in two steps, by their older bytes and then by the
-    last one, so the tables follow the contexts that occur.
+    Each text is led in by D ends, which are context only.
     """
+    lead, at = END * DEPTH, 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and (to == at or size + len(texts[to]) <= SPAN):
+            size += len(texts[to])
+            to += 1
+        data = np.frombuffer(b"".join(lead + t for t in texts[at:to]), np.uint8)
+        ends = np.cumsum(np.array([len(t) + DEPTH for t in texts[at:to]], np.int64))
+        starts = np.concatenate([[0], ends[:-1]]) + DEPTH
+        for low in range(DEPTH, len(data), SPAN):
+            high = min(low + SPAN, len(data))
+            where = np.arange(low, high)
+            text = np.searchsorted(ends, where, "right")
+            inside = where >= starts[text]
+            gram = np.zeros(high - low, np.int64)
+            for k in range(DEPTH, -1, -1):
+                gram = (gram << 8) | data[low - k : high - k]
+            yield at + text[inside], gram[inside]
+        at = to
+
 
-    def __init__(self, texts: list[bytes]):
-        # each text is led in by D ends, which are context only
-        lead = END * DEPTH
-        self.data = np.frombuffer(b"".join(lead + t for t in texts), np.uint8)
-        lengths = np.array([len(t) for t in texts], np.int64)
-        self.ends = np.cumsum(lengths + DEPTH)
-        self.starts = self.ends - lengths
-
-    def spans(self) -> Iterator[tuple[int, int]]:
-        """All but the first lead-in, half a million bytes at a time."""
-        for at in range(DEPTH, len(self.data), 1 << 19):
-            yield at, min(at + (1 << 19), len(self.data))
-
-    def older(self, start: int, end: int) -> np.ndarray:
-        out = np.zeros(end - start, np.int32)
-        for k in range(DEPTH, 1, -1):
-            out = (out << 8) | self.data[start - k : end - k]
-        return out
-
-    def number(self, contexts: np.ndarray | None = None) -> np.ndarray:
-        """Numbers the contexts that occur, or those given (sorted); returns them."""
-        self.first = np.full(1 << (8 * (DEPTH - 1)), -1, np.int32)
-        if contexts is None:
-            for at, end in self.spans():
-                self.first[self.older(at, end)] = 0
-            olds = np.flatnonzero(self.first == 0)
-        else:
-            olds = np.unique(contexts >> 8)
-        self.first[olds] = np.arange(len(olds), dtype=np.int32)
-        self.second = np.full(len(olds) * 256, -1, np.int32)
-        if contexts is None:
-            for at, end in self.spans():
-                self.second[self.first[self.older(at, end)] * 256 + self.data[at - 1 : end - 1]] = 0
-            pairs = np.flatnonzero(self.second == 0)
-            contexts = (olds[pairs >> 8].astype(np.int64) << 8) | (pairs & 255)
-        else:
-            pairs = self.first[contexts >> 8].astype(np.int64) * 256 + (contexts & 255)
-        self.second[pairs] = np.arange(len(pairs), dtype=np.int32)
-        return contexts
-
-    def places(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(text, place) of each byte of the texts, lead-ins left out."""
-        for at, end in self.spans():
-            where = np.arange(at, end)
-            text = np.searchsorted(self.ends, where, "right")
-            inside = where >= self.starts[text]
-            context = self.second[self.first[self.older(at, end)] * 256 + self.data[at - 1 : end - 1]]
-            yield text[inside], (context.astype(np.int64) * 256 + self.data[at:end])[inside]
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    found, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return found, np.bincount(at, np.concatenate(counts).astype(np.float64), len(found)).astype(np.int64)
 
 
 def count_grams(texts: list[bytes], train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct grams (context << 8 | byte), sorted, and how often they occur in training texts."""
-    g = Grams(texts)
-    contexts = g.number()
-    counts = np.full(len(contexts) * 256, -1, np.int32)
-    for text, place in g.places():
-        own, n = np.unique(place[train[text]], return_counts=True)
-        counts[place] = np.maximum(counts[place], 0)
-        counts[own] += n.astype(np.int32)
-    found = np.flatnonzero(counts >= 0)
-    return (contexts[found >> 8] << 8) | (found & 255), counts[found].astype(np.int64)
+    """Distinct grams, sorted, and how often they occur in training texts; memory follows the distinct ones and a span."""
+    keys, counts, held = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+    for text, gram in _spans(texts):
+        found, at = np.unique(gram, return_inverse=True)
+        keys.append(found)
+        counts.append(np.bincount(at, train[text].astype(np.float64), len(found)).astype(np.int64))
+        held += len(found)
+        if held > 4 * len(keys[0]) + SPAN:
+            one, two = _summed(keys, counts)
+            keys, counts, held = [one], [two], 0
+    return _summed(keys, counts)
 
 
 def score_grams(texts: list[bytes], grams: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Sum of the grams' values over each text; the grams are all that occur."""
-    g = Grams(texts)
-    contexts = g.number(np.unique(grams >> 8))
-    dense = np.zeros(len(contexts) * 256, np.float32)
-    dense[np.searchsorted(contexts, grams >> 8) * 256 + (grams & 255)] = values
+    order = np.argsort(grams)
+    grams, values = grams[order], values[order]
     out = np.zeros(len(texts))
-    for text, place in g.places():
-        first = int(text[0]) if len(text) else 0
-        sums = np.bincount(text - first, dense[place].astype(np.float64))
-        out[first : first + len(sums)] += sums
+    for text, gram in _spans(texts):
+        if len(text):
+            found, at = np.unique(gram, return_inverse=True)
+            own = values[np.searchsorted(grams, found)]
+            first = int(text[0])
+            sums = np.bincount(text - first, own[at])
+            out[first : first + len(sums)] += sums
     return out
 
 
@@ -156,8 +133,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         train = np.array([not held_out(i) for i in ids])
         hashes, bounds = word_hashes(texts)
         words, inverse = np.unique(hashes, return_inverse=True)
-        weight = np.repeat(train, np.diff(bounds)).astype(np.float64)
-        n_words = np.bincount(inverse, weight, len(words)).astype(np.int64)
+        n_words = np.bincount(inverse, np.repeat(train, np.diff(bounds)), len(words)).astype(np.int64)
+        del hashes, inverse, bounds
         grams, n_grams = count_grams(texts, train)
         name = zlib.crc32(body) << 31 ^ zlib.crc32(repr(ids).encode())
         columns = {
@@ -286,6 +263,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     empty text for crc32, so it is trained on; repeated rows count and are
     scored each; an empty table gives an empty one; other columns are left out.
     """
+    bounded_batches(docs.sparkSession)
     base = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"), F.col("doc_id").cast("bigint").alias("doc_id"))
     chunks = cut(base.mapInArrow(_chunks, "chunk bigint, ids array<bigint>, lengths array<bigint>, body binary, words binary, n_words binary, grams binary, n_grams binary"))
     rows = "chunk bigint, key bigint, n bigint"
@@ -296,7 +274,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     held = F.udf(held_out, "boolean", useArrow=True)
     train_docs = base.select("doc_id").where(~held("doc_id")).count()
     n, v = (counted["n"] or 0) + train_docs, (counted["v"] or 0) + (train_docs > 0)
-    known = words.select("chunk", F.lit(0).alias("kind"), "key", F.sum("n").over(W.partitionBy("key")).cast("double").alias("value"))
+    known = words.join(totals.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).select("chunk", F.lit(0).alias("kind"), "key", F.col("c").cast("double").alias("value"))
     values = cut(gram_values(grams.select(F.col("key").alias("gram"), "n")))
     valued = grams.join(values, F.col("key") == F.col("gram")).select("chunk", F.lit(1).alias("kind"), "key", "value")
     return (
