@@ -131,50 +131,58 @@ def test_repeated_passages_cover_all_shared_windows(spark, corpus):
     assert not set(covered) & set(range(40)), "clean documents stay alone"
 
 
-def signs(texts, group, first, n):
-    """Whether every 50-word stretch of texts[1] in its n words from ``first`` has a signature of texts[0] as well."""
-    keys = []
-    for t in texts:
-        raw = t.encode()
-        w = kernel.Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)], np.int64))
-        x = kernel.shingles(w.hashes, substring.SHINGLE)
-        keys.append(substring.joined_windows(x, np.array([0, len(x)]), group, 46)[:3])
-    return all(k in keys[0][0] for k, low, high in zip(*keys[1], strict=True) if low <= first + n - 50 and high >= first + 45)
-
-
-def test_passages_beyond_a_hub_that_is_not_similar(spark):
-    found = 0
-    for seed in range(12):
-        r = random.Random(seed)
-        phrase = prose(r, 44)
-        passage = f"{prose(r, 3)} {phrase} {prose(r, 3)}"
-        texts = [f"{prose(r, 60)} {phrase} {prose(r, 60)}", *(f"{prose(r, 10)} {passage} {prose(r, 10)}" for _ in range(2))]
-        if not signs(texts, (101, 102), 10, 50):
-            continue
-        found += 1
-        rows = substring.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), groups=((101, 102),)).collect()
-        assert [(x["other_id"], x["doc_id"], x["n_words"]) for x in rows] == [(1, 2, 50)]
-        if found == 2:
-            break
-    assert found
-
-
-def test_overlapping_copies_of_a_found_passage(spark):
-    found = 0
-    for seed in range(30):
-        r = random.Random(seed)
-        w = prose(r, 80).split()
-        one, two, three = " ".join(w[:60]), " ".join(w), " ".join(w[20:])
-        texts = [f"{prose(r, 30)} {one} {prose(r, 30)}", f"{prose(r, 30)} {two} {prose(r, 30)}", f"{prose(r, 30)} {three} {prose(r, 30)}"]
-        # the passage of the last two is signed as the first text is
-        if not signs([texts[0], texts[1]], (101, 102), 50, 60):
-            continue
-        found += 1
-        rows = substring.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), groups=((101, 102),)).collect()
-        assert sorted((x["other_id"], x["doc_id"], x["n_words"]) for x in rows) == [(0, 1, 60), (1, 2, 60)]
-        if found == 2:
-            break
-    assert found
+def found_in(spark, texts):
+    rows = substring.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return sorted((x["other_id"], x["doc_id"], x["n_words"]) for x in rows)
+
+
+@pytest.mark.parametrize("seed", [6, 11, 24])
+def test_passages_beyond_a_hub_that_is_not_similar(spark, monkeypatch, seed):
+    r = random.Random(seed)
+    phrase = prose(r, 44)
+    passage = f"{prose(r, 3)} {phrase} {prose(r, 3)}"
+    texts = [f"{prose(r, 60)} {phrase} {prose(r, 60)}", *(f"{prose(r, 10)} {passage} {prose(r, 10)}" for _ in range(2))]
+    assert found_in(spark, texts) == [(1, 2, 50)]
+    monkeypatch.setattr(substring, "SMALL", 1)
+    assert found_in(spark, texts) == [(1, 2, 50)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_overlapping_copies_of_a_found_passage(spark, monkeypatch, seed):
+    r = random.Random(seed)
+    w = prose(r, 80).split()
+    one, two, three = " ".join(w[:60]), " ".join(w), " ".join(w[20:])
+    texts = [f"{prose(r, 30)} {one} {prose(r, 30)}", f"{prose(r, 30)} {two} {prose(r, 30)}", f"{prose(r, 30)} {three} {prose(r, 30)}"]
+    assert found_in(spark, texts) == [(0, 1, 60), (1, 2, 60)]
+    monkeypatch.setattr(substring, "SMALL", 1)
+    assert found_in(spark, texts) == [(0, 1, 60), (1, 2, 60)]
+
+
+@pytest.mark.parametrize("levels", [substring.LEVELS, ()])
+def test_groups_of_a_common_phrase(spark, monkeypatch, levels):
+    """A phrase under the length in all texts, a few passages around it in two texts each, exact and edited; by levels, and by the last rounds alone."""
+    monkeypatch.setattr(substring, "SMALL", 2)
+    monkeypatch.setattr(substring, "LEVELS", levels)
+    r = random.Random(8)
+    phrase, texts, want = prose(r, 36), [], []
+    for i in range(24):
+        if i % 4 == 3:
+            passage = f"{prose(r, 14)} {phrase} {prose(r, 14)}"
+            edited = passage.split()
+            edited[2] = "edited"
+            texts += [f"{prose(r, 30)} {passage} {prose(r, 20)}", f"{prose(r, 5)} {' '.join(edited) if i % 8 == 7 else passage} {prose(r, 30)}"]
+            want.append((len(texts) - 2, len(texts) - 1))
+        else:
+            texts.append(f"{prose(r, 40)} {phrase} {prose(r, 40)}")
+    got = found_in(spark, texts)
+    assert [x[:2] for x in got] == want and all(n >= 59 for *_, n in got)
+
+
+def test_one_choice_of_functions_each():
+    for functions, n in substring.LEVELS:
+        for root in range(substring.FIRST):
+            own = substring.choices(root, functions, n)
+            assert len({frozenset(c) for c in own}) == n and all(len(set(c)) == functions and root not in c for c in own)
 
 
 def test_passages_of_texts_that_repeat_themselves():
@@ -210,8 +218,8 @@ def test_edited_passages_are_candidates():
         b[r.integers(5, 45)] = 7  # 41 of 51 shingles stay
         x, y = (kernel.shingles(w, substring.SHINGLE) for w in (a, b))
         assert substring.passages(a, b, 50, 5, 80) == [(0, 50, 0, 50)]
-        keys = lambda z, g: set(substring.joined_windows(z, np.array([0, len(z)]), g, least)[0].tolist())
-        both += any(keys(x, g) & keys(y, g) for g in substring.GROUPS)
+        own = lambda z, f: set(substring.joined_windows(z, [substring.compact_windows(z, np.array([0, len(z)]), substring._SEEDS[f], least)])[1].tolist())
+        both += any(own(x, f) & own(y, f) for f in range(substring.FIRST))
     assert both >= 0.997 * n
 
 
@@ -224,6 +232,16 @@ def test_removing_repeats_keeps_the_rest(spark, corpus):
     assert 57 not in left or len(words(texts[2])) < 50
 
 
+def test_removing_repeats_judges_texts_and_not_ids(spark):
+    r = random.Random(4)
+    a, u = prose(r, 100), prose(r, 100)
+    rows = [(0, a, 1, "x"), (1, a, 2, "y"), (1, u, 3, "z"), (None, a, 4, "n"), (2, None, 5, "e"), (2, "", 6, "e"), (1, u, 3, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __1 long, __3 string")
+    left = sorted(map(tuple, substring.remove_repeats(docs).collect()), key=repr)
+    assert left == sorted([x for x in rows if x[2] != 2], key=repr)
+    assert substring.remove_repeats(docs.limit(0)).count() == 0
+
+
 def test_compact_windows_are_wide_cartesian_nodes():
     r = np.random.default_rng(1)
     x, bounds, least = kernel.mix(r.integers(0, 1 << 60, 300).astype(np.uint64)), np.array([0, 120, 300]), 20
