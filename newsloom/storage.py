@@ -42,7 +42,10 @@ def cut(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="newsloom-"))
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    # the shuffles behind it are garbage now; their files go when the driver's JVM finds that out
+    spark._jvm.System.gc()
+    return done
 
 
 def only(rows: DataFrame, ids: DataFrame, column: str, most: int = 500_000) -> DataFrame:
