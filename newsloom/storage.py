@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,21 +35,50 @@ def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
         spark.conf.set(key, str(most))
 
 
+def _checkpoint_folder(spark: SparkSession) -> None:
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="newsloom-"))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage with a reliable checkpoint in the cluster's shared folder.
 
     The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (tests, one machine) a local folder is chosen.
+    unset on a local master (tests, one machine) a local folder is chosen.
     """
+    _checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the files of finished shuffles and checkpoints go now.
+
+    Spark's cleaner removes them once neither Python nor the driver's JVM holds
+    their plans, which either finds out only when it collects its garbage.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
+
+
+def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """Cuts lineage with a Parquet table in the checkpoint folder, for rows that compress well; and what removes it."""
     spark = df.sparkSession
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="newsloom-"))
-    done = df.checkpoint(eager=True)
-    # the shuffles behind it are garbage now; their files go when the driver's JVM finds that out
-    spark._jvm.System.gc()
-    return done
+    _checkpoint_folder(spark)
+    path = f"{context._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+
+    def drop() -> None:
+        there = context._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(context._jsc.hadoopConfiguration()).delete(there, True)
+
+    return spark.read.schema(df.schema).parquet(path), drop
 
 
 def only(rows: DataFrame, ids: DataFrame, column: str, most: int = 500_000) -> DataFrame:
