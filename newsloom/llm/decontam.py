@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.kernel import Words, shingles, signed, slices
+from newsloom.storage import bounded_batches
 
 MIN_MATCH, COVERAGE, MOST_WORDS = 5, 0.6, 2_000_000
 SCHEMA = "doc_id bigint, item_id bigint, item_words bigint, covered bigint, coverage double, n_tiles bigint"
@@ -131,8 +132,9 @@ def _carry(bench: DataFrame, min_match: int) -> Bench:
 
 def contaminated(docs: DataFrame, bench: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, most_words: int = MOST_WORDS) -> DataFrame:
     """One row for each document and item whose coverage reaches the threshold; clean documents have none."""
+    bounded_batches(docs.sparkSession)
     if not small(bench, most_words):
-        return _by_join(docs, bench, min_match, coverage)
+        return _by_join(docs, bench, min_match, coverage).drop("doc_id_mark")
     held = docs.sparkSession.sparkContext.broadcast(_carry(bench, min_match))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,42 +160,60 @@ def _seeds(min_match: int):
         for batch in batches:
             for at, _, data, offsets in slices(batch):
                 w = Words(data, offsets)
-                for i in range(len(offsets) - 1):
-                    grams = np.unique(shingles(w.hashes[w.bounds[i] : w.bounds[i + 1]], min_match))
-                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(1)[at + i].as_py()] * len(grams), pa.int64()), pa.array(signed(grams))], names=["id", "seed"])
+                grams = [np.unique(shingles(w.hashes[w.bounds[i] : w.bounds[i + 1]], min_match)) for i in range(len(offsets) - 1)]
+                row = np.repeat(np.arange(at, at + len(grams)), [len(g) for g in grams])
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row)) for c in batch.columns[1:]), pa.array(signed(np.concatenate([np.empty(0, np.uint64), *grams])))], names=[*batch.schema.names[1:], "seed"])
 
     return run
 
 
+def _named(texts: DataFrame, name: str) -> DataFrame:
+    """``text``, the id, and a hash of the text: rows are judged by both, so that rows that share an id don't mix."""
+    return texts.select("text", F.col(name), F.xxhash64("text").alias(f"{name}_mark"))
+
+
 def _by_join(docs: DataFrame, bench: DataFrame, min_match: int, coverage: float) -> DataFrame:
-    """The same rows for a benchmark of any size: seeds of both sides meet in an equi-join."""
-    schema, run = "id bigint, seed bigint", _seeds(min_match)
-    left = _prepared(docs).mapInArrow(run, schema).withColumnRenamed("id", "doc_id")
-    right = _items(bench).select("text", F.col("item_id").alias("doc_id")).mapInArrow(run, schema).withColumnRenamed("id", "item_id")
-    pairs = left.join(right, "seed").select("doc_id", "item_id").distinct()
+    """The same rows, and ``doc_id_mark``, for a benchmark of any size: seeds of both sides meet in an equi-join."""
+    left, right = _named(_prepared(docs), "doc_id"), _named(_items(bench), "item_id")
+
+    def seeds(side: DataFrame, name: str) -> DataFrame:
+        return side.distinct().mapInArrow(_seeds(min_match), f"{name} bigint, {name}_mark bigint, seed bigint")
+
+    one, two = seeds(left, "doc_id").toDF("d", "d_mark", "seed"), seeds(right, "item_id").toDF("i", "i_mark", "seed")
+    pairs = one.join(two, "seed").drop("seed").distinct()
     full = (
-        pairs.join(_prepared(docs).withColumnRenamed("text", "doc_text"), "doc_id")
-        .join(_items(bench), "item_id")
-        .select("doc_id", "item_id", "doc_text", "text")
+        pairs.join(left.withColumnRenamed("text", "doc_text"), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("d_mark") == F.col("doc_id_mark")))
+        .join(right, F.col("i").eqNullSafe(F.col("item_id")) & (F.col("i_mark") == F.col("item_id_mark")))
+        .select("doc_id", "doc_id_mark", "item_id", "doc_text", "text")
     )
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, item, body, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows, marks = [], []
+            for i in range(batch.num_rows):
+                doc, mark, item, body, text = (c[i].as_py() for c in batch.columns)
                 one, raw = Bench([item], [text], min_match), body.encode()
                 words = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)], np.int64))
-                rows += [(doc, item, len(one.items[0]), covered, share, n) for _, _, covered, share, n in one.matches(words, coverage)]
-            yield _batch(rows)
+                found = [(doc, item, len(one.items[0]), covered, share, n) for _, _, covered, share, n in one.matches(words, coverage)]
+                rows += found
+                marks += [mark] * len(found)
+            out = _batch(rows)
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(marks, pa.int64())], names=[*out.schema.names, "doc_id_mark"])
 
-    return full.mapInArrow(verify, SCHEMA)
+    return full.mapInArrow(verify, SCHEMA + ", doc_id_mark bigint")
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, most_words: int = MOST_WORDS) -> DataFrame:
-    """Documents without any contaminated one, all columns as they were."""
+    """Documents without the contaminated ones, all columns as they were, whatever their names.
+
+    Rows are judged one by one: of rows that share a doc_id, or have none, those
+    with a contaminated text go.
+    """
+    bounded_batches(docs.sparkSession)
     if not small(bench, most_words):
-        bad = _by_join(docs, bench, min_match, coverage).select(F.col("doc_id").alias("__bad")).distinct()
-        return docs.join(bad, docs["doc_id"] == bad["__bad"], "left_anti")
+        bad = _by_join(docs, bench, min_match, coverage).select("doc_id", "doc_id_mark").distinct().alias("bad")
+        mark = F.xxhash64(F.coalesce(F.col("own.text").cast("string"), F.lit("")))
+        return docs.alias("own").join(bad, F.col("own.doc_id").cast("bigint").eqNullSafe(F.col("bad.doc_id")) & (mark == F.col("bad.doc_id_mark")), "left_anti")
     held = docs.sparkSession.sparkContext.broadcast(_carry(bench, min_match))
     text = docs.columns.index("text")
 

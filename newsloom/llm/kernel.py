@@ -50,6 +50,17 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Rolling hashes of spans of one run of values."""
+    n = len(values)
+    up, down = _power_tables(n + 1)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(values * up[:n], dtype=np.uint64, out=sums[1:])
+        spans = (sums[ends] - sums[starts]) * down[starts]
+        return mix(spans ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
+
+
 class Words:
     """The words of some texts: byte spans, hashes (A-Z as a-z), and where each text's words begin."""
 
@@ -75,13 +86,7 @@ class Words:
         self.hashes = self._hash() if hashed else None
 
     def _hash(self) -> np.ndarray:
-        n = len(self.data)
-        up, down = _power_tables(n + 1)
-        with np.errstate(over="ignore"):
-            sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(_VALUES[self.data] * up[:n], dtype=np.uint64, out=sums[1:])
-            spans = (sums[self.ends] - sums[self.starts]) * down[self.starts]
-            return mix(spans ^ ((self.ends - self.starts).astype(np.uint64) << np.uint64(48)))
+        return span_hashes(_VALUES[self.data], self.starts, self.ends)
 
     @property
     def counts(self) -> np.ndarray:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.kernel import Words, mix, sequence_key, shingles, signed, slices
 from newsloom.operators.components import connected_components
-from newsloom.storage import cut, only
+from newsloom.storage import bounded_batches, cut, only
 
 BANDS, ROWS, BATCH = 32, 5, 32
 MISS = 1e-6
@@ -187,7 +187,8 @@ def _confirm(k: int, percent: int):
         held: tuple[str | None, np.ndarray] = (None, np.empty(0, np.uint64))
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            for i, (one, two) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            for i in range(batch.num_rows):
+                one, two = batch.column(2)[i].as_py(), batch.column(3)[i].as_py()
                 if one != held[0]:
                     held = (one, _set(one, k))
                 other = _set(two, k)
@@ -252,6 +253,7 @@ def near_duplicates(docs: DataFrame, setting: Setting = Setting(5, 80)) -> DataF
     """
     k, percent = setting
     least = least_matches(percent)
+    bounded_batches(docs.sparkSession)
     base = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("doc_id").cast("bigint").alias("doc_id"))
     scan = cut(base.mapInArrow(_scan(k), "doc_id bigint, k1 bigint, k2 bigint, n_shingles bigint, sig binary, bands array<bigint>"))
     linkable = scan.where("n_shingles > 0 and doc_id is not null")
@@ -297,6 +299,11 @@ def near_duplicates(docs: DataFrame, setting: Setting = Setting(5, 80)) -> DataF
 
 
 def drop_near_duplicates(docs: DataFrame, setting: Setting = Setting(5, 80)) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id, all columns as they were."""
-    gone = near_duplicates(docs, setting).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """One document of each group, the one with the smallest doc_id, all columns as they were.
+
+    Defined results: rows without doc_id, null texts and texts without words
+    stay; of rows that repeat a doc_id all stay or all go, so that repeated
+    rows stay together; an empty table stays empty; columns may have any names.
+    """
+    gone = near_duplicates(docs, setting).where("not kept").select("doc_id").distinct()
+    return docs.alias("own").join(gone.alias("gone"), F.col("own.doc_id") == F.col("gone.doc_id"), "left_anti")

@@ -1,38 +1,47 @@
 """SentencePiece encoding and decoding from a public model's piece table.
 
-Spaces become ``▁`` and a text gets one in front. No piece has ``▁`` after
-another character, so a text falls into units, a run of ``▁`` with the letters
-after it, and further where no piece holds two neighbouring characters; units
+Spaces become ``▁`` and a text gets one in front. A text falls into units where
+no piece holds two neighbouring characters (so before each run of ``▁``); units
 are encoded on their own and the result is the same as for the whole text.
 
-A unit's lattice has an edge for each substring, of at most the longest piece's
-length, that the piece table holds. ``lattice_encode`` builds lattices as
-tables: substrings are exploded, equi-joined to the pieces, grouped by unit, and
-folded with Spark's ``aggregate``. For a unigram model the fold is Viterbi; for
-a BPE model, whose scores are merge ranks and not probabilities, Viterbi gives
-wrong ids, and the fold merges the best adjacent pair of edges until none is
-left. ``encode`` does the same over whole corpora in Arrow batches, keeping
-units that it has met (README says why the exploded form isn't used there).
-Characters without a piece become byte pieces.
+1. Rows are packed into chunks of some MB, compressed; chunks are shuffled once.
+2. Each chunk sends its distinct units. Over the distinct units of all chunks
+   lattices are built as tables: substrings of at most the longest piece's
+   length are exploded, equi-joined to the piece table, grouped by unit, and
+   folded with Spark's ``aggregate``. For a unigram model the fold is Viterbi;
+   for a BPE model, whose scores are merge ranks and not probabilities, Viterbi
+   gives wrong ids, and the fold merges the best adjacent pair of edges until
+   none is left. Which boundaries remain is a bit mask.
+3. The ids come back by chunk, and a cogroup puts them into the texts.
+
+So texts are never exploded, and each distinct unit is folded once in the whole
+corpus. Units of more than ``LONGEST`` characters, and characters without a
+piece, which become byte pieces, are resolved in the chunk's own task.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
-import re
 import struct
-from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from newsloom.llm.kernel import SLICE, buffers, mix, span_hashes
+from newsloom.storage import bounded_batches
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
+#: Bytes of text in a chunk.
+CHUNK = 16 << 20
+#: Characters of a unit that the lattice takes: one bit of a mask for each boundary.
+LONGEST = 60
 UNIGRAM, BPE = 1, 2
 _NORMAL, _BYTE, _USER = 1, 6, 4
 
@@ -98,160 +107,6 @@ def load_model(path: str = MODEL, kind: int | None = None) -> Model:
     return Model(kind or own, ids, scores, bytes_, pieces, max(map(len, ids)), min(scores.values()) - 10.0)
 
 
-class Lattice:
-    """Merges many units at once: tokens of all units in one matrix, linked left to right.
-
-    A pair table, made from the piece table by joining every two pieces whose
-    concatenation is a piece, gives each adjacent pair's rank; each round merges
-    the best pair of every unit and looks up the two pairs that it changes.
-    """
-
-    NONE = np.iinfo(np.int32).max
-
-    def __init__(self, model: Model):
-        self.model = model
-        by_rank = sorted(model.ids, key=lambda p: -model.scores[p])
-        self.id_of_rank = np.array([model.ids[p] for p in by_rank], np.int32)
-        keys, ranks = [], []
-        for rank, piece in enumerate(by_rank):
-            for i in range(1, len(piece)):
-                left, right = model.ids.get(piece[:i]), model.ids.get(piece[i:])
-                if left is not None and right is not None:
-                    keys.append(left << 24 | right)
-                    ranks.append(rank)
-        order = np.argsort(np.array(keys, np.int64))
-        self.keys, self.ranks = np.array(keys, np.int64)[order], np.array(ranks, np.int32)[order]
-        # the first key of each slot is found at once, the few others by search
-        self.slots = np.full(1 << 21, -1, np.int32)
-        self.slots[self._slot(self.keys)[::-1]] = np.arange(len(keys), dtype=np.int32)[::-1]
-        self.char = np.full(0x110000, -1, np.int32)
-        for piece, i in model.ids.items():
-            if len(piece) == 1:
-                self.char[ord(piece)] = i
-
-    @staticmethod
-    def _slot(keys: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).astype(np.int64)
-
-    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        out = np.full(len(left), self.NONE, np.int32)
-        good = np.flatnonzero((left >= 0) & (right >= 0))
-        keys = left[good].astype(np.int64) << 24 | right[good]
-        at = self.slots[self._slot(keys)]
-        there = at >= 0
-        hit = there & (self.keys[at] == keys)
-        out[good[hit]] = self.ranks[at[hit]]
-        others = np.flatnonzero(there & ~hit)
-        if len(others):
-            at = np.minimum(np.searchsorted(self.keys, keys[others]), len(self.keys) - 1)
-            same = self.keys[at] == keys[others]
-            out[good[others[same]]] = self.ranks[at[same]]
-        return out
-
-    def merge(self, units: list[str]) -> list[tuple[int, ...]]:
-        """Ids of units of at most 64 characters."""
-        lengths = np.array([len(u) for u in units])
-        out: list[tuple[int, ...]] = [()] * len(units)
-        for low, high in ((0, 8), (8, 16), (16, 64)):
-            chosen = np.flatnonzero((lengths > low) & (lengths <= high))
-            for at in range(0, len(chosen), 50_000):
-                part = chosen[at : at + 50_000]
-                own = [units[i] for i in part]
-                for i, ids in zip(part.tolist(), self._merge(own, lengths[part], high), strict=True):
-                    out[i] = ids
-        return out
-
-    def _merge(self, units: list[str], lengths: np.ndarray, width: int) -> list[tuple[int, ...]]:
-        n = len(units)
-        codes = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
-        inside = np.arange(width) < lengths[:, None]
-        # one spare column, so that nothing stands at the ends
-        token = np.full((n, width + 1), -1, np.int32)
-        token[:, :width][inside] = self.char[codes]
-        place = np.arange(width + 1, dtype=np.int32)
-        after, before = np.broadcast_to(place + 1, token.shape).copy(), np.broadcast_to(place - 1, token.shape).copy()
-        alive = np.zeros(token.shape, bool)
-        alive[:, :width] = inside
-        ranks = np.full(token.shape, self.NONE, np.int32)
-        pair = alive[:, :-1] & alive[:, 1:]
-        ranks[:, :-1][pair] = self.rank(token[:, :-1][pair], token[:, 1:][pair])
-        rows = np.arange(n)
-        while len(rows):
-            i = ranks[rows].argmin(1)
-            best = ranks[rows, i]
-            going = best < self.NONE
-            rows, i, best = rows[going], i[going], best[going]
-            if not len(rows):
-                break
-            j = after[rows, i]
-            token[rows, i], alive[rows, j], ranks[rows, j] = self.id_of_rank[best], False, self.NONE
-            k, h = after[rows, j], before[rows, i]
-            after[rows, i] = k
-            before[rows, np.minimum(k, width)] = i
-            right = (k < width) & alive[rows, np.minimum(k, width)]
-            fresh = np.full(len(rows), self.NONE, np.int32)
-            fresh[right] = self.rank(token[rows[right], i[right]], token[rows[right], k[right]])
-            ranks[rows, i] = fresh
-            left = h >= 0
-            ranks[rows[left], h[left]] = self.rank(token[rows[left], h[left]], token[rows[left], i[left]])
-        ends = np.cumsum(alive.sum(1)).tolist()
-        flat, at, out = token[alive].tolist(), 0, []
-        for end in ends:
-            out.append(tuple(flat[at:end]))
-            at = end
-        for r in np.flatnonzero((token < 0).any(1, where=alive)).tolist():
-            ids: list[int] = []
-            for c in np.flatnonzero(alive[r]):
-                ids += [int(token[r, c])] if token[r, c] >= 0 else [self.model.bytes_[b] for b in units[r][c].encode()]
-            out[r] = tuple(ids)
-        return out
-
-
-class Encoder:
-    """Encodes texts unit by unit and keeps the units that it has met, at most ``most`` of them."""
-
-    def __init__(self, model: Model, most: int = 700_000):
-        self.model, self.most = model, most
-        self.pairs = {p[i : i + 2] for p in model.ids for i in range(len(p) - 1)}
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.unit = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.lattice = Lattice(model) if model.kind == BPE else None
-
-    def encode(self, text: str) -> array:
-        return self.encode_many([text])[0]
-
-    def encode_many(self, texts: list[str]) -> list[array]:
-        found = [self.unit.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        known = self.known
-        if len(known) >= self.most:
-            known.clear()
-        missing = list({u for units in found for u in units if u not in known})
-        short = [u for u in missing if len(u) <= 64] if self.lattice else []
-        if short:
-            known.update(zip(short, self.lattice.merge(short), strict=True))
-        for u in missing:
-            if u not in known:
-                known[u] = self._unit(u)
-        out = []
-        for units in found:
-            ids = array("i")
-            for u in units:
-                ids.extend(known[u])
-            out.append(ids)
-        return out
-
-    def _unit(self, unit: str) -> tuple[int, ...]:
-        fold, out, at = (_viterbi if self.model.kind == UNIGRAM else _merge), [], 0
-        for i in range(1, len(unit) + 1):
-            if i == len(unit) or unit[i - 1 : i + 1] not in self.pairs:
-                for piece in fold(unit[at:i], self.model):
-                    own = self.model.ids.get(piece)
-                    out += [own] if own is not None else [self.model.bytes_[b] for b in piece.encode()]
-                at = i
-        return tuple(out)
-
-
 def _viterbi(unit: str, model: Model) -> list[str]:
     """The best-scored path over a unit's lattice; of equal paths the one whose last edge is longest."""
     n, scores = len(unit), model.scores
@@ -297,16 +152,181 @@ def _merge(unit: str, model: Model) -> list[str]:
     return [p for p in parts if p]
 
 
-#: One encoder for each model in a Python worker, so that tasks share the units that they have met.
-_encoders: dict[tuple, Encoder] = {}
+class Cutter:
+    """Cuts texts into units, by code points."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        pairs = sorted({ord(p[i]) << 21 | ord(p[i + 1]) for p in model.ids for i in range(len(p) - 1)})
+        self.pairs = np.array(pairs, np.int64)
+        self.low = np.zeros((128, 128), bool)
+        low = self.pairs[((self.pairs >> 21) < 128) & ((self.pairs & 0x1FFFFF) < 128)]
+        self.low[low >> 21, low & 0x1FFFFF] = True
+        self.has_piece = np.zeros(0x110000, bool)
+        self.has_piece[[ord(p) for p in model.ids if len(p) == 1]] = True
+
+    def cut(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All texts in one string with ``▁``, where units begin (and its end), their hashes, whether Spark's lattice takes them, and each text's first unit."""
+        marked = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
+        body = "".join(marked)
+        codes = np.frombuffer(body.encode("utf-32-le"), np.uint32)
+        n = len(codes)
+        first = np.cumsum([0, *map(len, marked)])
+        new = np.zeros(n + 1, bool)
+        new[first] = True
+        if n:
+            a, b = codes[:-1], codes[1:]
+            low = (a < 128) & (b < 128)
+            inside = np.zeros(n - 1, bool)
+            inside[low] = self.low[a[low], b[low]]
+            keys = a[~low].astype(np.int64) << 21 | b[~low]
+            inside[~low] = len(self.pairs) and self.pairs[np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)] == keys
+            new[1:n] |= ~inside
+        starts = np.flatnonzero(new)
+        hashes = span_hashes(mix(codes.astype(np.uint64), 13), starts[:-1], starts[1:])
+        lengths = np.diff(starts)
+        known = np.add.reduceat(self.has_piece[codes], starts[:-1], dtype=np.int64) == lengths if n else np.empty(0, bool)
+        return body, starts, hashes, known & (lengths <= LONGEST), np.searchsorted(starts, first)
+
+    def own(self, unit: str) -> list[int]:
+        """Ids of a unit that the lattice doesn't take."""
+        fold, out = (_viterbi if self.model.kind == UNIGRAM else _merge), []
+        for piece in fold(unit, self.model):
+            own = self.model.ids.get(piece)
+            out += [own] if own is not None else [self.model.bytes_[b] for b in piece.encode()]
+        return out
 
 
-def _encoder(model: Model) -> Encoder:
+#: One cutter for each model in a Python worker.
+_cutters: dict[tuple, Cutter] = {}
+
+
+def _cutter(model: Model) -> Cutter:
     key = (model.kind, len(model.ids), hash(tuple(model.pieces)))
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(model)
-    return _encoders[key]
+    if key not in _cutters:
+        _cutters.clear()
+        _cutters[key] = Cutter(model)
+    return _cutters[key]
+
+
+def _parts(texts: list[str | None]) -> Iterator[tuple[int, int, list[str]]]:
+    """Runs of texts of about ``SLICE`` characters."""
+    at = 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and (to == at or size + len(texts[to] or "") <= SLICE):
+            size += len(texts[to] or "")
+            to += 1
+        yield at, to, [t or "" for t in texts[at:to]]
+        at = to
+
+
+def _packed(at: int, names: list[str]):
+    """Chunks: rows with all their columns as a compressed Arrow stream, named by its content."""
+
+    def packed(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as stream:
+            for x in rows:
+                stream.write_batch(x)
+        body = sink.getvalue().to_pybytes()
+        name = int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little", signed=True)
+        return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([body], pa.binary())], names=["chunk", "body"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for batch in batches:
+            _, offsets = buffers(batch.column(at))
+            start = 0
+            while start < batch.num_rows:
+                to = min(max(start + 1, int(np.searchsorted(offsets, offsets[start] + CHUNK - size, "right")) - 1), batch.num_rows)
+                # a copy, as slices are written with all that they are cut from
+                rows.append(pa.RecordBatch.from_arrays([x.take(pa.array(np.arange(start, to))) for x in batch.columns], names=names))
+                size += int(offsets[to] - offsets[start])
+                start = to
+                if size >= CHUNK:
+                    yield packed(rows)
+                    rows, size = [], 0
+        if rows:
+            yield packed(rows)
+
+    return run
+
+
+def _opened(body: bytes) -> Iterator[pa.RecordBatch]:
+    with pa.ipc.open_stream(body) as stream:
+        yield from stream
+
+
+def _unit_rows(held, at: int):
+    """``chunk, place, unit``: the distinct units of each chunk that the lattice takes; ``place`` is the rank of the unit's hash among them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = _cutter(held.value)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                seen, named = np.empty(0, np.uint64), []
+                for rows in _opened(batch.column(1)[i].as_py()):
+                    for _, _, texts in _parts(rows.column(at).to_pylist()):
+                        body, starts, hashes, takes, _ = cutter.cut(texts)
+                        which = np.flatnonzero(takes)
+                        own, first = np.unique(hashes[which], return_index=True)
+                        fresh = ~np.isin(own, seen, assume_unique=True)
+                        own, first = own[fresh], which[first[fresh]]
+                        named.append((own, pa.array([body[s:e] for s, e in zip(starts[first].tolist(), starts[first + 1].tolist(), strict=True)], pa.string())))
+                        seen = np.union1d(seen, own)
+                for own, units_ in named:
+                    place = np.searchsorted(seen, own).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), batch.column(0)[i].as_py(), np.int64)), pa.array(place), units_], names=["chunk", "place", "unit"])
+
+    return run
+
+
+def _filled(held, at: int, text_out: str | None, names: list[str]):
+    """The rows of a chunk with the ids of its texts, and with what the ids decode to."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        cutter = _cutter(held.value)
+        decoder = Decoder(held.value) if text_out else None
+        places = right["place"].to_numpy()
+        order = np.argsort(places, kind="stable")
+        # chunks of equal content have equal rows
+        order = order[np.concatenate([[True], places[order][1:] != places[order][:-1]])] if len(order) else order
+        lists = right["ids"].combine_chunks()
+        lists = lists.take(pa.array(order)) if len(order) else lists
+        offsets, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+        done = []
+        for body in left["body"].to_pylist():
+            seen = np.empty(0, np.uint64)
+            for rows in _opened(body):
+                for _, _, texts in _parts(rows.column(at).to_pylist()):
+                    _, _, hashes, takes, _ = cutter.cut(texts)
+                    seen = np.union1d(seen, hashes[takes])
+            if len(seen) != len(order):
+                raise RuntimeError("a chunk and its units differ: the rows that were encoded aren't the same in each reading of them")
+            for rows in _opened(body):
+                for start, to, texts in _parts(rows.column(at).to_pylist()):
+                    whole, starts, hashes, takes, first = cutter.cut(texts)
+                    unit = np.searchsorted(seen, hashes)
+                    begin, size = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+                    begin[takes], size[takes] = offsets[unit[takes]], offsets[unit[takes] + 1] - offsets[unit[takes]]
+                    more: list[int] = []
+                    for u in np.flatnonzero(~takes).tolist():
+                        own = cutter.own(whole[starts[u] : starts[u + 1]])
+                        begin[u], size[u] = len(flat) + len(more), len(own)
+                        more += own
+                    ends = np.concatenate([[0], np.cumsum(size)])
+                    every = np.concatenate([flat, np.array(more, np.int32)]) if more else flat
+                    ids = every[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])].astype(np.int32)
+                    bounds = ends[first]
+                    arrays = [x.slice(start, to - start) for x in rows.columns]
+                    arrays.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)))
+                    if decoder:
+                        arrays.append(decoder.decode_all(ids, bounds))
+                    done.append(pa.RecordBatch.from_arrays(arrays, names=names))
+        return pa.Table.from_batches(done)
+
+    return run
 
 
 class Decoder:
@@ -318,33 +338,64 @@ class Decoder:
         for byte, i in enumerate(model.bytes_):
             if i:
                 self.raw[i] = bytes([byte])
+        self.blob = np.frombuffer(b"".join(self.raw), np.uint8)
+        self.ends = np.concatenate([[0], np.cumsum([len(x) for x in self.raw])]).astype(np.int64)
 
     def decode(self, ids: list[int]) -> str:
         raw = b"".join(map(self.raw.__getitem__, ids))
         return raw.decode("utf-8", "replace").removeprefix(" ")
 
-
-def encode(docs: DataFrame, model: Model, text: str = "text", out: str = "ids") -> DataFrame:
-    """Adds ``out``, an array of piece ids; a null or empty text has none. A column of that name is replaced."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop(out)
-    at, schema = docs.columns.index(text), T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(held.value)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                ids = encoder.encode_many([x or "" for x in part.column(at).to_pylist()])
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                flat = np.concatenate([np.empty(0, np.int32), *[np.frombuffer(x, np.int32) for x in ids]])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[*part.schema.names, out])
-
-    return docs.mapInArrow(run, schema)
+    def decode_all(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """Texts of many lists of ids that lie one after another."""
+        size = self.ends[ids + 1] - self.ends[ids]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        raw = self.blob[np.repeat(self.ends[ids] - ends[:-1], size) + np.arange(ends[-1])]
+        start, end = ends[bounds[:-1]], ends[bounds[1:]]
+        lead = np.flatnonzero(end > start)
+        keep = np.ones(len(raw), bool)
+        keep[start[lead[raw[start[lead]] == 0x20]]] = False
+        kept = np.concatenate([[0], np.cumsum(keep)])
+        offsets = np.append(kept[start], kept[end[-1]] if len(end) else 0).astype(np.int32)
+        found = pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw[keep])))
+        try:
+            found.validate(full=True)
+        except pa.ArrowInvalid:  # bytes that are no UTF-8
+            return pa.array([self.decode(ids[s:e].tolist()) for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.string())
+        return found
+
+
+def encode(docs: DataFrame, model: Model, text: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
+    """Adds ``out``, an array of piece ids, and with ``decoded`` the text that these give again.
+
+    Defined results: a null or empty text has no ids and decodes to an empty
+    text; repeated rows are encoded each; an empty table gives an empty one;
+    columns of these names are replaced, others stay, whatever their names. The
+    order of rows isn't kept.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    held = spark.sparkContext.broadcast(model)
+    docs = docs.drop(out, *([decoded] if decoded else []))
+    at, columns = docs.columns.index(text), docs.columns
+    # columns by number inside, so that no name clashes
+    names = [f"c{i}" for i in range(len(columns))]
+    plain = docs.toDF(*names).withColumn(names[at], F.col(names[at]).cast("string"))
+    chunks = plain.mapInArrow(_packed(at, names), "chunk bigint, body binary").repartition("chunk")
+    rows = chunks.mapInArrow(_unit_rows(held, at), "chunk bigint, place int, unit string").repartition("unit")
+    # chunk and place are looked at, so that both uses of these rows are one shuffle
+    distinct = rows.groupBy("unit").agg(F.min(F.struct("chunk", "place")).alias("first")).where("first.place >= 0 and first.chunk is not null").select("unit")
+    coded = lattice_encode(distinct, piece_table(spark, model), model).select(F.col("unit").alias("u"), "ids")
+    answers = rows.join(coded, F.col("unit") == F.col("u")).select("chunk", "place", "ids")
+    fields = [T.StructField(x, f.dataType) for x, f in zip(names, plain.schema.fields, strict=True)]
+    added = [T.StructField("out", T.ArrayType(T.IntegerType()))] + ([T.StructField("decoded", T.StringType())] if decoded else [])
+    schema = T.StructType([*fields, *added])
+    filled = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_filled(held, at, decoded, schema.names), schema)
+    return filled.toDF(*columns, out, *([decoded] if decoded else []))
 
 
 def decode(frame: DataFrame, model: Model, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds ``out``, the text of an array of piece ids; null ids give an empty text. A column of that name is replaced."""
+    bounded_batches(frame.sparkSession)
     held = frame.sparkSession.sparkContext.broadcast(model)
     frame = frame.drop(out)
     at, schema = frame.columns.index(ids), T.StructType([*frame.schema.fields, T.StructField(out, T.StringType())])
@@ -361,67 +412,65 @@ def decode(frame: DataFrame, model: Model, ids: str = "ids", out: str = "decoded
 
 
 def piece_table(spark: SparkSession, model: Model) -> DataFrame:
-    """``piece, id, score`` of all normal pieces."""
-    return spark.createDataFrame([(p, i, model.scores[p]) for p, i in model.ids.items()], "piece string, id int, score double")
+    """``piece, id, score, rank`` of all normal pieces; the best score has rank 0."""
+    ranks = {p: r for r, p in enumerate(sorted(model.ids, key=lambda p: -model.scores[p]))}
+    return spark.createDataFrame([(p, i, model.scores[p], ranks[p]) for p, i in model.ids.items()], "piece string, id int, score double, rank int")
 
 
 def units(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The distinct ``unit`` strings of all texts."""
+    """The distinct ``unit`` strings of all texts, cut before each run of ``▁``."""
     marked = F.concat(F.lit(SPACE), F.replace(F.col(text), F.lit(" "), F.lit(SPACE)))
     return docs.where(F.length(text) > 0).select(F.explode(F.regexp_extract_all(marked, F.lit(f"{SPACE}*[^{SPACE}]+|{SPACE}+"), F.lit(0))).alias("unit")).distinct()
 
 
 def lattice_encode(unit_rows: DataFrame, pieces: DataFrame, model: Model) -> DataFrame:
-    """``unit, tokens``: the pieces of each distinct unit, with DataFrame operations only.
+    """``unit, tokens, ids`` of each distinct unit of at most ``LONGEST`` characters, with DataFrame operations only.
 
     The piece table is fixed (tens of thousands of rows), so its side is
     broadcast; exploded substrings stay with their unit's partition and the
-    grouping by unit needs no shuffle of its own.
+    grouping by unit needs no shuffle of its own. A character without a piece
+    is a token of its own with the id null.
     """
-    own = unit_rows.select("unit").distinct()
+    own = unit_rows.select("unit").where(F.length("unit").between(1, LONGEST)).distinct()
     spans = own.select("unit", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s")).select(
         "unit", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.length("unit"), F.col("s") + model.longest))).alias("e")
     )
+    # an edge in one number: rank, place, end, id
+    edge = "shiftleft(cast(coalesce(rank, 1048575) as bigint), 32) | shiftleft(cast(s as bigint), 26) | shiftleft(cast(e as bigint), 20) | coalesce(id, 1048575)"
     edges = (
         spans.withColumn("part", F.substring("unit", F.col("s") + 1, F.col("e") - F.col("s")))
         .join(F.broadcast(pieces), F.col("part") == F.col("piece"), "left")
         .where("piece is not null or e = s + 1")
-        .select("unit", F.struct("s", "e", F.coalesce("score", F.lit(model.unknown)).alias("score"), F.col("piece").isNotNull().alias("known")).alias("edge"))
-        .groupBy("unit").agg(F.collect_list("edge").alias("edges"))
+        .groupBy("unit").agg(F.sort_array(F.collect_list(F.expr(edge))).alias("edges"), *([F.collect_list(F.struct("s", "e", F.coalesce("score", F.lit(model.unknown)).alias("score"))).alias("scored")] if model.kind == UNIGRAM else []))
     )
-    fold = _viterbi_fold if model.kind == UNIGRAM else _merge_fold
-    ends = edges.withColumn("ends", fold(F.col("edges"), F.length("unit")))
-    return ends.select(
+    # the boundaries that an edge needs, and those that it would take away
+    shape = "struct(shiftleft(1L, cast(shiftright(x, 26) & 63 as int)) | shiftleft(1L, cast(shiftright(x, 20) & 63 as int)) as two, shiftleft(1L, cast(shiftright(x, 20) & 63 as int)) - shiftleft(2L, cast(shiftright(x, 26) & 63 as int)) as inner, shiftleft(shiftright(x, 20) & 4095, 20) | (x & 1048575) as code)"
+    mask = _viterbi_mask() if model.kind == UNIGRAM else _merge_mask(shape)
+    left = f"transform(array({mask}), m -> array_sort(transform(filter(transform(edges, x -> {shape}), x -> (m & x.two) = x.two and (m & x.inner) = 0), x -> x.code)))[0]"
+    codes = edges.select("unit", F.explode(F.array(F.expr(left))).alias("codes"))
+    return codes.select(
         "unit",
-        F.transform("ends", lambda e, i: F.substring("unit", F.when(i == 0, 0).otherwise(F.get("ends", i - 1)) + 1, e - F.when(i == 0, 0).otherwise(F.get("ends", i - 1)))).alias("tokens"),
+        F.expr("transform(codes, c -> substring(unit, cast(shiftright(c, 26) + 1 as int), cast((shiftright(c, 20) & 63) - shiftright(c, 26) as int)))").alias("tokens"),
+        F.expr("transform(codes, c -> cast(nullif(c & 1048575, 1048575) as int))").alias("ids"),
     )
 
 
-def _viterbi_fold(edges: Column, n: Column) -> Column:
-    """Ends of the best path's edges: a fold over places that keeps (score, previous) of each, then a fold backwards."""
-    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back")))
-    best = F.aggregate(
-        F.sequence(F.lit(1), n), start,
-        lambda state, p: F.concat(state, F.array(F.array_max(F.transform(
-            F.filter(edges, lambda e: e["e"] == p),
-            lambda e: F.struct((F.get(state, e["s"])["score"] + e["score"]).alias("score"), (-e["s"]).alias("back")),
-        )))),
+def _viterbi_mask() -> str:
+    """Boundaries of the best path: a fold over places that keeps (score, previous) of each, then a fold backwards."""
+    best = (
+        "aggregate(sequence(1, length(unit)), array(struct(0D as score, 0 as back)), (state, p) -> concat(state, array(array_max("
+        "transform(filter(scored, e -> e.e = p), e -> struct(get(state, e.s).score + e.score as score, -e.s as back))))))"
     )
-    return F.aggregate(
-        F.sequence(F.lit(1), n), F.array(n),
-        lambda ends, _: F.when(-F.get(best, F.get(ends, F.lit(0)))["back"] > 0, F.concat(F.array(-F.get(best, F.get(ends, F.lit(0)))["back"]), ends)).otherwise(ends),
+    return (
+        f"aggregate(array({best}), 0L, (zero, state) -> aggregate(sequence(1, length(unit)), struct(shiftleft(1L, length(unit)) | 1L as mask, length(unit) as at), "
+        "(path, i) -> struct(path.mask | shiftleft(1L, -get(state, path.at).back) as mask, -get(state, path.at).back as at), path -> path.mask))"
     )
 
 
-def _merge_fold(edges: Column, n: Column) -> Column:
-    """Ends of the pieces after merging: each step takes the best edge that spans just two pieces."""
-
-    def step(ends: Column, _: Column) -> Column:
-        def spans_two(e: Column) -> Column:
-            inside = F.size(F.filter(ends, lambda x: (x > e["s"]) & (x < e["e"])))
-            return e["known"] & (inside == 1) & ((e["s"] == 0) | F.array_contains(ends, e["s"])) & F.array_contains(ends, e["e"])
-
-        top = F.array_max(F.transform(F.filter(edges, spans_two), lambda e: F.struct(e["score"].alias("score"), (-e["s"]).alias("left"), e["e"].alias("e"))))
-        return F.when(top.isNull(), ends).otherwise(F.filter(ends, lambda x: (x <= -top["left"]) | (x >= top["e"])))
-
-    return F.aggregate(F.sequence(F.lit(1), n), F.sequence(F.lit(1), n), step)
+def _merge_mask(shape: str) -> str:
+    """Boundaries that are left after merging: each step takes the best edge, the leftmost of equals, that spans just two pieces."""
+    wide = f"filter(transform(edges, x -> {shape}), x -> x.inner <> 0)"
+    return (
+        f"aggregate(array({wide}), shiftleft(1L, length(unit) + 1) - 1, (all, wide) -> aggregate(sequence(1, length(unit)), all, "
+        "(m, i) -> coalesce(m & ~get(filter(wide, x -> (m & x.two) = x.two and bit_count(m & x.inner) = 1), 0).inner, m)))"
+    )
