@@ -66,13 +66,12 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sample(docs: DataFrame, labels: DataFrame, rows: int, carried: dict[str, str]) -> list[dict]:
     """At most ``rows`` labelled documents as distinct word hashes, shapes and the columns ``carried`` (name: type)."""
     known = labels.where("doc_id is not null").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    joined = (
-        docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-        .join(known, "doc_id")
-        .select("text", "doc_id", *carried)
-    )
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    joined = docs.withColumn("text", text).join(known, "doc_id")
+    # of rows that repeat a doc_id one is taken, so that rows bound the sample
+    one = joined.groupBy("doc_id").agg(F.min_by(F.struct("text", *carried), F.xxhash64("text")).alias("r")).select("r.text", "doc_id", *[f"r.{c}" for c in carried])
     schema = "words array<bigint>, shape array<double>, doc_id bigint" + "".join(f", {n} {t}" for n, t in carried.items())
-    found = joined.mapInArrow(_sampled, schema).toArrow().to_pylist()
+    found = one.mapInArrow(_sampled, schema).toArrow().to_pylist()
     return sorted(found, key=lambda r: (r["doc_id"], r["words"]))
 
 
@@ -125,14 +124,6 @@ def folds(rows: list[dict], n: int = 5) -> np.ndarray:
     return np.arange(len(rows)) % n
 
 
-def out_of_fold(x: np.ndarray, y: np.ndarray, fold: np.ndarray, l2: float = 1.0) -> np.ndarray:
-    """Logits for each row from a model that hasn't seen it."""
-    out = np.zeros(len(y))
-    for k in np.unique(fold):
-        out[fold == k] = logits(x[fold == k], fit(x[fold != k], y[fold != k], l2=l2))
-    return out
-
-
 def hits(hashes: np.ndarray, bounds: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """Presence of the chosen words (sorted signed hashes) for each row of a run."""
     n = len(bounds) - 1

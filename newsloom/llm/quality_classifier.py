@@ -1,30 +1,39 @@
 """Quality by co-training two views of a document.
 
 The text view sees word presence and the shape of the text; the metadata view
-sees source, language, recorded length and line layout, never the words. Both start from the labelled sample; in each
-round each view labels the unlabelled documents it is surest of, for the other
-view to train on. At last both views are calibrated on out-of-fold logits of
-labelled rows and combined, and every document is scored in one pass.
+sees source, language, recorded length and line layout, never the words. Both start
+from the labelled sample. In each round one pass scores all other documents, and
+each view's surest ones, by a distributed top-k, are labelled for the other view
+to train on. At last both views are calibrated on out-of-fold logits of labelled
+rows and combined, and every document is scored in one pass. The models of a
+fold choose their words, and get their pseudo-labels, from models that haven't
+seen the fold's labels either; all folds share the passes.
 
 Defined results: null and empty texts count as texts without words; a null
 source, language or length is a value of its own; documents without labels are scored
-like all others; without any labels every score is 0.5 and everything is kept.
+like all others; labelled ones beyond the sample count as unlabelled; without any
+labels, or with one class only, every score is 0.5 and everything is kept; an
+empty table gives an empty one; other columns are left out.
 """
 
 from __future__ import annotations
 
+import collections
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.llm import linear
 
-#: Production bounds: labelled rows, unlabelled rows of the pool, rounds, rows that a view labels in a round and class.
-ROWS, POOL, ROUNDS, SHARED = 6_000, 3_000, 5, 150
+#: Production bounds: labelled rows, rounds (each a pass over all documents), rows that a view labels in a round and class.
+ROWS, ROUNDS, SHARED = 6_000, 3, 200
+#: A pseudo-label needs this probability.
+SURE = 0.95
 HASHED = 64
 
 
@@ -57,11 +66,63 @@ def _carried(docs: DataFrame) -> DataFrame:
     )
 
 
-def _text_matrix(rows: list[dict], words: np.ndarray) -> np.ndarray:
-    return np.hstack([linear.matrix(rows, words), np.array([r["shape"] for r in rows]).reshape(len(rows), len(linear.SHAPES))])
+class _Model:
+    """Both views' training rows, for one choice of labelled rows (all, or all but a fold)."""
 
+    def __init__(self, rows: list[dict], y: np.ndarray, keep: np.ndarray, meta: np.ndarray):
+        self.words = linear.choose_words([r for r, k in zip(rows, keep, strict=True) if k], y[keep], 120)
+        text = np.hstack([linear.matrix(rows, self.words), np.array([r["shape"] for r in rows]).reshape(len(rows), len(linear.SHAPES))])
+        self.views, self.y, self.keep = (text, meta), y, keep
+        # what the other view has labelled: (doc_id, text's hash) -> (features, label)
+        self.given: tuple[dict, dict] = ({}, {})
 
-def train_views(docs: DataFrame, labels: DataFrame, rows: int = ROWS, pool: int = POOL, rounds: int = ROUNDS, shared: int = SHARED) -> Views | None:
+    def train(self, v: int) -> np.ndarray:
+        own = [self.given[v][k] for k in sorted(self.given[v])]
+        x = np.vstack([self.views[v][self.keep], *[f[None, :] for f, _ in own]])
+        target = np.concatenate([self.y[self.keep], [label for _, label in own]])
+        return linear.fit(x, target, np.concatenate([np.ones(self.keep.sum()), np.full(len(own), 0.5)]))
+
+
+_CANDIDATE = "model int, view int, label int, doc_id bigint, hash bigint, sure double, text array<double>, meta array<double>"
+
+
+def _surest(base: DataFrame, models: list[_Model], known: np.ndarray, shared: int) -> list:
+    """For each model, view and label the ``shared`` surest documents that aren't known; each task sends its own best ones only."""
+    words, weights = [m.words for m in models], [(m.train(0), m.train(1)) for m in models]
+    # of what has been labelled already, a task could send as many again
+    most = shared + max(len(g) for m in models for g in m.given)
+    least = float(np.log(SURE / (1 - SURE)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple, list] = {}
+        for batch in batches:
+            meta = _meta(*(batch.column(i).to_pylist() for i in range(2, 6)))
+            ids, marks = np.array(batch.column(1).fill_null(-1)), np.array(batch.column(6))
+            free = ~np.isin(ids, known) & np.array(batch.column(1).is_valid())
+            for at, hashes, bounds, shapes in linear.presence(batch):
+                n = len(bounds) - 1
+                for m, (own, (w_text, w_meta)) in enumerate(zip(words, weights, strict=True)):
+                    text = np.hstack([linear.hits(hashes, bounds, own), shapes])
+                    for v, z in enumerate((linear.logits(text, w_text), linear.logits(meta[at : at + n], w_meta))):
+                        for label, score in ((1, z), (0, -z)):
+                            sure = np.flatnonzero((score > least) & free[at : at + n])
+                            top = best.setdefault((m, v, label), [])
+                            for i in sure[np.lexsort((marks[at + sure], ids[at + sure], -score[sure]))[:most]].tolist():
+                                top.append((-float(score[i]), int(ids[at + i]), int(marks[at + i]), text[i].tolist(), meta[at + i].tolist()))
+                            if len(top) > 2 * most:
+                                best[m, v, label] = sorted(top)[:most]
+        rows = [(m, v, label, i, mark, -score, text, meta) for (m, v, label), top in best.items() for score, i, mark, text, meta in sorted(top)[:most]]
+        for at in range(0, len(rows), 500):
+            part = list(zip(*rows[at : at + 500], strict=True))
+            kinds = [pa.int32()] * 3 + [pa.int64()] * 2 + [pa.float64()] + [pa.list_(pa.float64())] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(part, kinds, strict=True)], names=[x.split()[0] for x in _CANDIDATE.split(", ")])
+
+    found = base.withColumn("hash", F.xxhash64("text")).mapInArrow(run, _CANDIDATE).dropDuplicates(["model", "view", "label", "doc_id", "hash"])
+    order = W.partitionBy("model", "view", "label").orderBy(F.col("sure").desc(), "doc_id", "hash")
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place").collect()
+
+
+def train_views(docs: DataFrame, labels: DataFrame, rows: int = ROWS, rounds: int = ROUNDS, shared: int = SHARED) -> Views | None:
     """Fits both views by co-training; None if no class or only one has labels."""
     kept = {"source": "string", "lang": "string", "n_chars": "bigint", "n_lines": "bigint"}
     base = _carried(docs)
@@ -69,40 +130,27 @@ def train_views(docs: DataFrame, labels: DataFrame, rows: int = ROWS, pool: int
     y = np.array([r["quality"] for r in known], float)
     if not known or y.min() == y.max():
         return None
-    unlabelled = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).join(labels.select("doc_id").distinct(), "doc_id", "left_anti")
-    free = linear.sample(base, unlabelled, pool, kept)
-    words = linear.choose_words(known, y, 120)
-    meta = [np.array(_meta(*([r[c] for r in part] for c in kept))) for part in (known, free)]
-    text = [_text_matrix(part, words) for part in (known, free)]
-    fold, views = linear.folds(known), (text, meta)
-    # pseudo-labels that each view has been given by the other: row of the pool -> label
-    given: tuple[dict[int, float], dict[int, float]] = ({}, {})
-
-    def train(v: int, keep: np.ndarray) -> np.ndarray:
-        own = sorted(given[v])
-        x = np.vstack([views[v][0][keep], views[v][1][own]]) if own else views[v][0][keep]
-        target = np.concatenate([y[keep], [given[v][i] for i in own]]) if own else y[keep]
-        weight = np.concatenate([np.ones(keep.sum()), np.full(len(own), 0.5)])
-        return linear.fit(x, target, weight)
-
-    everything = np.ones(len(y), bool)
-    for _ in range(rounds if free else 0):
-        for v in (0, 1):
-            at = linear.logits(views[v][1], train(v, everything))
-            order = np.argsort(at, kind="stable")
-            other = given[1 - v]
-            for label, ranked, sure in ((1.0, order[::-1], at > np.log(0.95 / 0.05)), (0.0, order, at < -np.log(0.95 / 0.05))):
-                fresh = [int(i) for i in ranked if sure[i] and int(i) not in other][:shared]
-                other.update({i: label for i in fresh})
+    meta, fold = np.array(_meta(*([r[c] for r in known] for c in kept))), linear.folds(known)
+    models = [_Model(known, y, np.ones(len(y), bool), meta), *[_Model(known, y, fold != k, meta) for k in np.unique(fold)]]
+    ids = np.array([r["doc_id"] for r in known], np.int64)
+    for _ in range(rounds):
+        taken = collections.Counter()
+        for r in sorted(_surest(base, models, ids, shared), key=lambda r: (-r["sure"], r["doc_id"], r["hash"])):
+            place, other = (r["model"], r["view"], r["label"]), models[r["model"]].given[1 - r["view"]]
+            if taken[place] < shared and (r["doc_id"], r["hash"]) not in other:
+                taken[place] += 1
+                other[r["doc_id"], r["hash"]] = (np.array(r["meta"] if r["view"] == 0 else r["text"]), float(r["label"]))
+        if not taken:
+            break
     held, calibration = [], []
     for v in (0, 1):
         out = np.zeros(len(y))
-        for k in np.unique(fold):
-            out[fold == k] = linear.logits(views[v][0][fold == k], train(v, fold != k))
+        for m, k in zip(models[1:], np.unique(fold), strict=True):
+            out[fold == k] = linear.logits(m.views[v][fold == k], m.train(v))
         calibration.append(linear.fit(out[:, None] / 5, y))
         held.append(linear.logits(out[:, None] / 5, calibration[-1]))
     combine = linear.fit(np.stack(held, 1) / 5, y)
-    return Views(words, train(0, everything), train(1, everything), (calibration[0], calibration[1]), combine)
+    return Views(models[0].words, models[0].train(0), models[0].train(1), (calibration[0], calibration[1]), combine)
 
 
 SCHEMA = "doc_id bigint, p_text double, p_meta double, p_quality double, kept boolean"

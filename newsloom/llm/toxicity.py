@@ -6,7 +6,8 @@ out-of-fold predictions, so a later model doesn't learn from leaked labels.
 
 Defined results: null and empty texts are scored on the intercepts alone;
 repeated rows are scored one by one; documents without labels are scored like
-all others; with no labels at all every probability is 0.
+all others; with no labels at all every probability is 0; an empty table gives
+an empty one; columns other than doc_id and text are left out.
 """
 
 from __future__ import annotations
@@ -38,17 +39,29 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...],
     if not known:
         return Chain(categories, np.empty(0, np.int64), tuple(np.append(np.zeros(i), -30.0) for i in range(len(categories))), 0.5)
     y = {c: np.array([r[c] for r in known], float) for c in categories}
-    words = np.unique(np.concatenate([linear.choose_words(known, y[c], 100) for c in categories]))
-    fold, x = linear.folds(known), linear.matrix(known, words)
-    weights, first = [], None
+    fold = linear.folds(known)
+    words, x = _features(known, y, np.ones(len(known), bool))
+    inside = {k: _features(known, y, fold != k)[1] for k in np.unique(fold)}
+    weights, first, earlier = [], None, np.empty((len(known), 0))
     for c in categories:
-        held = linear.out_of_fold(x, y[c], fold)
-        weights.append(linear.fit(x, y[c]))
+        # neither the words nor the weights of a held-out row's model have seen its labels
+        held = np.zeros(len(known))
+        for k, own in inside.items():
+            own = np.hstack([own, earlier])
+            held[fold == k] = linear.logits(own[fold == k], linear.fit(own[fold != k], y[c][fold != k]))
+        weights.append(linear.fit(np.hstack([x, earlier]), y[c]))
         first = held if first is None else first
-        x = np.hstack([x, linear.sigmoid(held)[:, None]])
+        earlier = np.hstack([earlier, linear.sigmoid(held)[:, None]])
     return Chain(categories, words, tuple(weights), _threshold(linear.sigmoid(first), y[categories[0]]))
 
 
+def _features(rows: list[dict], y: dict[str, np.ndarray], keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words that tell any category among the rows kept, and their presence in all rows."""
+    own = [r for r, k in zip(rows, keep, strict=True) if k]
+    words = np.unique(np.concatenate([linear.choose_words(own, labels[keep], 100) for labels in y.values()]))
+    return words, linear.matrix(rows, words)
+
+
 def _threshold(p: np.ndarray, y: np.ndarray) -> float:
     """The out-of-fold probability with the best F1, halfway to its lower neighbour; 0.5 if a class is missing."""
     if not 0 < y.sum() < len(y):

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.llm import chat, decontam, kernel, licenses, lm, near_dedup, pieces, quality_classifier, quality_rules, queries, sql, substring, toxicity
+from newsloom.llm import chat, decontam, kernel, licenses, linear, lm, near_dedup, pieces, quality_classifier, quality_rules, queries, sql, substring, toxicity
 from tests.conftest import DATA
 from tests.parity import assert_same, connect
 
@@ -454,6 +454,72 @@ def test_quality_rules_edges(spark):
     assert got[5]["n_symbols"] == 90 and "symbols_per_word" in got[5]["failed_rules"]
 
 
+def labelled(n=240):
+    """Texts whose class shows in words and source, with nulls, repeats and an unlabelled half."""
+    r = random.Random(21)
+    rows, labels = [], []
+    for i in range(n):
+        good = r.random() < 0.5
+        t = " ".join(r.choice(["calm", "clear", "kind"] if good and r.random() < 0.4 else ["loud", "spam", "buy"] if r.random() < 0.4 else WORDS) for _ in range(30))
+        rows.append((i, t, "en", "a" if good else "b", len(t)))
+        if i % 2:
+            labels.append((i, int(good), int(not good)))
+    rows += [(n, None, None, None, None), (None, "calm clear kind", "en", "a", 15), rows[0], rows[2]]
+    return rows, [*labels, (5, None, None), (9999, 1, 0)]
+
+
+SHAPE = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_surest_documents_equal_a_full_sort(spark):
+    rows, labels = labelled()
+    docs, marks = spark.createDataFrame(rows, SHAPE).repartition(5), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    base = quality_classifier._carried(docs)
+    kept = {"source": "string", "lang": "string", "n_chars": "bigint", "n_lines": "bigint"}
+    known = linear.sample(base, marks.select("doc_id", "quality").where("quality is not null"), 60, kept | {"quality": "int"})
+    y, fold = np.array([x["quality"] for x in known], float), linear.folds(known)
+    meta = np.array(quality_classifier._meta(*([x[c] for x in known] for c in kept)))
+    models = [quality_classifier._Model(known, y, fold != k, meta) for k in (0, 1, 99)]
+    ids = np.array([x["doc_id"] for x in known])
+    got = collections.defaultdict(set)
+    for x in quality_classifier._surest(base, models, ids, 7):
+        got[x["model"], x["view"], x["label"]].add((x["doc_id"], round(x["sure"], 9)))
+    batch = pa.RecordBatch.from_pylist([{"text": t or "", "doc_id": i} for i, t, *_ in rows])
+    (_, hashes, bounds, shapes), = linear.presence(batch)
+    features = np.array(quality_classifier._meta([x[3] for x in rows], [x[2] for x in rows], [x[4] for x in rows], [1] * len(rows)))
+    for m, model in enumerate(models):
+        for v, x in enumerate((np.hstack([linear.hits(hashes, bounds, model.words), shapes]), features)):
+            z = linear.logits(x, model.train(v))
+            for label, score in ((1, z), (0, -z)):
+                want = sorted({(-round(float(p), 9), i[0]) for p, i in zip(score, rows) if i[0] is not None and i[0] not in ids and p > math.log(19)})[:7]
+                assert got[m, v, label] == {(i, -p) for p, i in want}
+
+
+def test_models_of_a_fold_have_not_seen_it(spark):
+    rows, labels = labelled()
+    docs = spark.createDataFrame(rows, SHAPE)
+    both = []
+    for swap in (False, True):
+        marks = spark.createDataFrame([(i, a, 1 - b if swap and i % 10 == 1 and b is not None else b) for i, a, b in labels], "doc_id long, quality int, toxic int")
+        known = linear.sample(docs, marks.select("doc_id", F.coalesce("toxic", F.lit(0)).alias("toxic")), 1000, {"toxic": "int"})
+        y, fold = np.array([x["toxic"] for x in known], float), linear.folds(known)
+        keep = fold != fold[[x["doc_id"] for x in known].index(1)]
+        assert not any(x["doc_id"] % 10 == 1 for x, k in zip(known, keep) if k)
+        words, x = toxicity._features(known, {"toxic": y}, keep)
+        both.append((words.tolist(), linear.fit(x[keep], y[keep]).tolist()))
+    assert both[0] == both[1]
+
+
+def test_classifiers_of_empty_tables(spark):
+    rows, labels = labelled()
+    docs, marks = spark.createDataFrame(rows, SHAPE), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    none = marks.limit(0)
+    for op in (toxicity.toxicity, quality_classifier.quality_classifier):
+        assert op(docs.limit(0), marks).count() == 0
+        assert op(docs, none).count() == len(rows)
+    assert {r["p_quality"] for r in quality_classifier.quality_classifier(docs, none).collect()} == {0.5}
+
+
 def test_chain_and_views_learn(spark):
     r = random.Random(7)
     rows, labels = [], []
