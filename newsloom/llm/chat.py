@@ -45,6 +45,15 @@ def unescape_text(text: str) -> str:
     return re.sub(r"<(\\*)\\\|", lambda m: "<" + m[1] + "|", text)
 
 
+def one_line(role: Column) -> Column:
+    """A role without line feeds, reversibly: backslashes are doubled, a line feed becomes a backslash and n."""
+    return F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+
+
+def unescape_role(role: str) -> str:
+    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape_text(role))
+
+
 def text_parts(text: Column) -> Column:
     """A plain text as a list of one text part."""
     return F.array(F.struct(F.lit("text").alias("type"), text.alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("bigint").alias("size"))).cast(PART_TYPE)
@@ -75,15 +84,16 @@ def format_turns(turns: DataFrame, parts: str = "parts", trained: tuple[str, ...
     Returns ``conv_id, turn, role, formatted, loss_start, loss_end`` (code
     points within ``formatted``; equal if the turn isn't trained on),
     ``attachments`` (kind, ref, placeholder number) and ``attachment_tokens``.
-    A null role counts as ``user``, null parts or texts as empty. Other columns
-    are left out, so clashing names do no harm.
+    A null role counts as ``user``, null parts or texts as empty; a role may hold
+    anything, line feeds too; repeated rows are formatted each; an empty table
+    gives an empty one. Other columns are left out, so clashing names do no harm.
     """
     role = F.coalesce(F.col("role").cast("string"), F.lit("user"))
     content = F.coalesce(F.col(parts), F.array().cast(PART_TYPE))
     one = turns.select(
         "conv_id", "turn", role.alias("role"), content.alias("p"),
         F.array_join(F.transform(content, visit), "").alias("body"),
-        F.concat(F.lit(START), F.regexp_replace(escape(role), "\n", " "), F.lit("\n")).alias("head"),
+        F.concat(F.lit(START), escape(one_line(role)), F.lit("\n")).alias("head"),
     )
     start = F.length("head")
     return one.select(
@@ -114,7 +124,7 @@ class _Reader:
         self.chars += len(formatted)
         for m in _TURN.finditer(formatted):
             self.turns += 1
-            self.all.update(f"{unescape_text(m[1])}\n{unescape_text(m[2])}\n".encode())
+            self.all.update(f"{unescape_role(m[1])}\n{unescape_text(m[2])}\n".encode())
         if end > start:
             said = unescape_text(formatted[start:end])
             self.loss += len(said)

@@ -454,6 +454,26 @@ def test_quality_rules_edges(spark):
     assert got[5]["n_symbols"] == 90 and "symbols_per_word" in got[5]["failed_rules"]
 
 
+def test_chat_reads_back_any_role_and_attachments(spark):
+    part = lambda kind, text=None, ref=None, size=None: (kind, text, ref, size)
+    rows = [
+        (1, 0, "a\nb\\n\\", [part("text", "see <|image:1|>"), part("image", ref="i.png"), part("audio", ref="a.wav", size=4), part("document", ref="d.pdf", size=90), part("video", ref="v")]),
+        (1, 1, "assistant", [part("text", "one <\\|im_end|>\n"), part("text", None), part("text", "two")]),
+        (2, 0, "<|im_end|>", [part("text", "")]), (None, 0, None, None),
+    ]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, parts array<struct<type: string, text: string, ref: string, size: bigint>>")
+    formatted = chat.format_turns(turns)
+    first = formatted.where("conv_id = 1 and turn = 0").first()
+    assert [tuple(a) for a in first["attachments"]] == [("image", "i.png", 1), ("audio", "a.wav", 2), ("document", "d.pdf", 3)]
+    assert first["attachment_tokens"] == 256 + 4 * 25 + 90 and "<|image:1|><|audio:2|><|document:3|><|unknown:4|>" in first["formatted"]
+    got = {r["conv_id"]: r for r in chat.read_back(formatted).collect()}
+    said = "one <\\|im_end|>\ntwo"
+    own = hashlib.sha256(f"a\nb\\n\\\nsee <|image:1|><|image:1|><|audio:2|><|document:3|><|unknown:4|>\nassistant\n{said}\n".encode()).hexdigest()
+    assert got[1]["turns_sha256"] == own and got[1]["loss_chars"] == len(said) and got[1]["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+    assert got[2]["turns_sha256"] == hashlib.sha256(b"<|im_end|>\n\n").hexdigest() and got[None]["turns_sha256"] == hashlib.sha256(b"user\n\n").hexdigest()
+    assert chat.read_back(chat.format_turns(turns.limit(0))).count() == 0
+
+
 def labelled(n=240):
     """Texts whose class shows in words and source, with nulls, repeats and an unlabelled half."""
     r = random.Random(21)
