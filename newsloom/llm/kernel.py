@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 #: Words are runs of anything but space, tab, line feed, VT, FF and CR.
 BREAKS = np.zeros(256, bool)
 BREAKS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
