@@ -29,7 +29,8 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,7 +40,7 @@ from newsloom.storage import bounded_batches
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Bytes of text in a chunk.
-CHUNK = 16 << 20
+CHUNK = 24 << 20
 #: Characters of a unit that the lattice takes: one bit of a mask for each boundary.
 LONGEST = 60
 UNIGRAM, BPE = 1, 2
@@ -265,23 +266,62 @@ def _unit_rows(held, at: int):
         cutter = _cutter(held.value)
         for batch in batches:
             for i in range(batch.num_rows):
-                seen, named = np.empty(0, np.uint64), []
+                seen, found, units_ = np.empty(0, np.uint64), [np.empty(0, np.uint64)], [pa.array([], pa.string())]
                 for rows in _opened(batch.column(1)[i].as_py()):
                     for _, _, texts in _parts(rows.column(at).to_pylist()):
                         body, starts, hashes, takes, _ = cutter.cut(texts)
                         which = np.flatnonzero(takes)
                         own, first = np.unique(hashes[which], return_index=True)
-                        fresh = ~np.isin(own, seen, assume_unique=True)
-                        own, first = own[fresh], which[first[fresh]]
-                        named.append((own, pa.array([body[s:e] for s, e in zip(starts[first].tolist(), starts[first + 1].tolist(), strict=True)], pa.string())))
-                        seen = np.union1d(seen, own)
-                for own, units_ in named:
-                    place = np.searchsorted(seen, own).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), batch.column(0)[i].as_py(), np.int64)), pa.array(place), units_], names=["chunk", "place", "unit"])
+                        if len(seen):
+                            fresh = seen[np.minimum(np.searchsorted(seen, own), len(seen) - 1)] != own
+                            own, first = own[fresh], first[fresh]
+                        first = which[first]
+                        found.append(own)
+                        units_.append(pa.array([body[s:e] for s, e in zip(starts[first].tolist(), starts[first + 1].tolist(), strict=True)], pa.string()))
+                        # merged now and then; what has been met since may come twice
+                        if len(found) % 8 == 0:
+                            seen = np.unique(np.concatenate(found))
+                seen, first = np.unique(np.concatenate(found), return_index=True)
+                # in the order of units, in which a shuffle compresses them best
+                units_ = pa.concat_arrays(units_).take(pa.array(first))
+                order = pa.compute.sort_indices(units_)
+                units_, places = units_.take(order), order.cast(pa.int32())
+                name = pa.array(np.full(len(places), batch.column(0)[i].as_py(), np.int64))
+                all_ = pa.RecordBatch.from_arrays([name, places, units_], names=["chunk", "place", "unit"])
+                yield from (all_.slice(k, 50_000) for k in range(0, all_.num_rows, 50_000))
 
     return run
 
 
+def width(model: Model) -> tuple[int, int]:
+    """Bits of an id and one, and how many such go into a number."""
+    bits = len(model.pieces).bit_length()
+    return bits, 63 // bits
+
+
+def packed_ids(model: Model) -> tuple[Column, Column]:
+    """The first ids in one number, the others, if any, as a list."""
+    bits, n = width(model)
+    head = F.expr(f"aggregate(slice(ids, 1, {n}), 0L, (a, x) -> shiftleft(a, {bits}) | (x + 1))")
+    return head.alias("head"), F.expr(f"if(size(ids) > {n}, slice(ids, {n + 1}, size(ids)), null)").alias("tail")
+
+
+def _lists(head: np.ndarray, tail: pa.Array, bits: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and ids of what ``packed_ids`` has packed."""
+    digits = head[:, None] >> (np.arange(n)[::-1] * bits) & ((1 << bits) - 1)
+    there = digits > 0
+    first, more = there.sum(1), np.asarray(pa.compute.list_value_length(tail).fill_null(0), np.int64)
+    offsets = np.concatenate([[0], np.cumsum(first + more)]).astype(np.int64)
+    flat = np.empty(offsets[-1], np.int32)
+    flat[np.repeat(offsets[:-1], first) + _ranks(first)] = digits[there] - 1
+    flat[np.repeat(offsets[:-1] + first, more) + _ranks(more)] = tail.flatten().to_numpy()
+    return offsets, flat
+
+
+def _ranks(sizes: np.ndarray) -> np.ndarray:
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
 def _filled(held, at: int, text_out: str | None, names: list[str]):
     """The rows of a chunk with the ids of its texts, and with what the ids decode to."""
 
@@ -292,16 +332,16 @@ def _filled(held, at: int, text_out: str | None, names: list[str]):
         order = np.argsort(places, kind="stable")
         # chunks of equal content have equal rows
         order = order[np.concatenate([[True], places[order][1:] != places[order][:-1]])] if len(order) else order
-        lists = right["ids"].combine_chunks()
-        lists = lists.take(pa.array(order)) if len(order) else lists
-        offsets, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+        offsets, flat = _lists(right["head"].to_numpy()[order], right["tail"].combine_chunks().take(pa.array(order)), *width(held.value))
         done = []
         for body in left["body"].to_pylist():
-            seen = np.empty(0, np.uint64)
+            each = [np.empty(0, np.uint64)]
             for rows in _opened(body):
                 for _, _, texts in _parts(rows.column(at).to_pylist()):
                     _, _, hashes, takes, _ = cutter.cut(texts)
-                    seen = np.union1d(seen, hashes[takes])
+                    each.append(np.unique(hashes[takes]))
+            seen = np.unique(np.concatenate(each))
+            del each
             if len(seen) != len(order):
                 raise RuntimeError("a chunk and its units differ: the rows that were encoded aren't the same in each reading of them")
             for rows in _opened(body):
@@ -385,7 +425,7 @@ def encode(docs: DataFrame, model: Model, text: str = "text", out: str = "ids",
     # chunk and place are looked at, so that both uses of these rows are one shuffle
     distinct = rows.groupBy("unit").agg(F.min(F.struct("chunk", "place")).alias("first")).where("first.place >= 0 and first.chunk is not null").select("unit")
     coded = lattice_encode(distinct, piece_table(spark, model), model).select(F.col("unit").alias("u"), "ids")
-    answers = rows.join(coded, F.col("unit") == F.col("u")).select("chunk", "place", "ids")
+    answers = rows.join(coded, F.col("unit") == F.col("u")).select("chunk", "place", *packed_ids(model))
     fields = [T.StructField(x, f.dataType) for x, f in zip(names, plain.schema.fields, strict=True)]
     added = [T.StructField("out", T.ArrayType(T.IntegerType()))] + ([T.StructField("decoded", T.StringType())] if decoded else [])
     schema = T.StructType([*fields, *added])
