@@ -58,8 +58,11 @@ def release(spark: SparkSession) -> None:
     """Lets the files of finished shuffles and checkpoints go now.
 
     Spark's cleaner removes them once neither Python nor the driver's JVM holds
-    their plans, which either finds out only when it collects its garbage.
+    their plans, which either finds out only when it collects its garbage. On a
+    local master, where nothing else needs the disk, nothing is done.
     """
+    if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
+        return
     for _ in range(2):
         gc.collect()
         spark._jvm.System.gc()
