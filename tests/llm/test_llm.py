@@ -163,6 +163,7 @@ def test_groups_of_a_common_phrase(spark, monkeypatch, levels):
     """A phrase under the length in all texts, a few passages around it in two texts each, exact and edited; by levels, and by the last rounds alone."""
     monkeypatch.setattr(substring, "SMALL", 2)
     monkeypatch.setattr(substring, "LEVELS", levels)
+    monkeypatch.setattr(substring, "HUBS", 16 if levels else 64)
     r = random.Random(8)
     phrase, texts, want = prose(r, 36), [], []
     for i in range(24):
