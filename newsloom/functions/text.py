@@ -100,3 +100,35 @@ SECRETS = (
 
 def secret_classes(text: Column) -> Column:
     return F.array_compact(F.array(*[F.when(text.rlike(pattern), F.lit(name)) for name, pattern in SECRETS]))
+
+
+def message_parts(text: Column, most: int = 4000, numbered: str = "{i}/{n}") -> Column:
+    """A message as parts of at most ``most`` characters, broken at line ends.
+
+    A short message is one part. Otherwise the first line heads each part, with
+    the part's number; the other lines fill the parts in order, and a line too
+    long for a part is cut, its link kept if that fits.
+    """
+    lines = F.split(text, "\n", -1)
+    head = lines[0]
+    room = F.greatest(F.lit(most) - F.length(head) - 60, F.lit(20))
+    link_at = lambda x: F.locate("http", x)
+    link = lambda x: F.substring(x, link_at(x), F.length(x))
+    dots = lambda x: F.concat(F.substring(x, F.lit(1), room - 3), F.lit("..."))
+    kept = lambda x: F.concat(F.substring(x, F.lit(1), room - F.length(link(x)) - 4), F.lit("..."), link(x))
+    cut_line = lambda x: F.when(F.length(x) + 1 <= room, x).when(link_at(x) == 0, dots(x)).when(F.length(link(x)) < room - 10, kept(x)).otherwise(dots(link(x)))
+    body = F.transform(F.slice(lines, 2, F.size(lines)), cut_line)
+    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"))
+
+    def step(state: Column, line: Column) -> Column:
+        full = state["open"].isNotNull() & (F.length(state["open"]) + 1 + F.length(line) + 1 > room)
+        joined = F.when(state["open"].isNull(), line).otherwise(F.concat(state["open"], F.lit("\n"), line))
+        return F.struct(F.when(full, F.array_append(state["done"], state["open"])).otherwise(state["done"]).alias("done"), F.when(full, line).otherwise(joined).alias("open"))
+
+    parts = F.aggregate(body, empty, step, lambda s: F.when(s["open"].isNull(), s["done"]).otherwise(F.array_append(s["done"], s["open"])))
+    before, _, after = numbered.partition("{i}")
+    between, _, end = after.partition("{n}")
+    # bound once, so that the fold isn't repeated for each part
+    named = F.flatten(F.transform(F.array(parts), lambda all_: F.transform(all_, lambda p, i: F.concat(
+        head, F.lit("\n" + before), (i + 1).cast("string"), F.lit(between), F.size(all_).cast("string"), F.lit(end + "\n\n"), p))))
+    return F.when(F.length(text) <= most, F.array(text)).otherwise(named)

@@ -13,6 +13,11 @@ TRACKING = {
     "collector": ("from", "utm_source", "utm_medium", "utm_campaign", "utm_content", "fbclid", "gclid"),
     "candidate": ("from", "utm_source", "utm_medium", "utm_campaign", "utm_content", "fbclid", "gclid", "utm_term", "ref", "source"),
     "event": ("utm_source", "utm_medium", "utm_campaign", "utm_content", "utm_term", "gclid"),
+    # beside every key that begins with utm_
+    "newsletter": (
+        "fbclid", "gclid", "msclkid", "mc_cid", "mc_eid", "mkt_tok", "vero_id", "oly_anon_id", "oly_enc_id", "sr_share", "ncid", "ocid",
+        "ref", "ref_", "source", "campaign", "trk", "tracking_id", "from",
+    ),
 }
 
 _PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
@@ -64,10 +69,14 @@ def event_url(url: Column) -> Column:
 
 
 def newsletter_url(url: Column) -> Column:
-    """https only, every ``utm_*`` key dropped; anything else gives ''."""
-    pairs = F.filter(F.split(part(url, 4), "&"), lambda p: p.rlike("^[^=]+=.+$") & ~F.lower(p).rlike("^(utm_[^=]*|fbclid|gclid|ref|mc_cid|mc_eid|igshid)="))
-    base = F.concat(F.lit("https://"), host(url), part(url, 3))
-    return F.when((F.lower(part(url, 1)) == "https") & ~private_host(url), _join(base, F.array_join(F.array_sort(pairs), "&"))).otherwise("")
+    """https only, path lower-cased, ``utm_*`` and the newsletter keys dropped, pairs without a value kept; an unsafe link gives ''."""
+    link = F.regexp_replace(F.trim(url), "^[<>\"']+|[<>\"']+$", "")
+    name = lambda p: F.lower(F.regexp_extract(p, "^([^=]*)", 1))
+    pairs = F.filter(F.split(part(link, 4), "&"), lambda p: (p != "") & ~name(p).startswith("utm_") & ~name(p).isin(*TRACKING["newsletter"]))
+    named = F.transform(pairs, lambda p: F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("="))))
+    path, port = F.lower(F.regexp_replace(part(link, 3), "/+$", "")), F.regexp_extract(part(link, 2), r":0*([1-9]\d*)$", 1)
+    base = F.concat(F.lit("https://"), F.regexp_replace(host(link), r"\.+$", ""), F.when(port != "", F.concat(F.lit(":"), port)).otherwise(""), F.when(path == "", "/").otherwise(path))
+    return F.when(safe_url(link), _join(base, F.array_join(F.array_sort(named), "&"))).otherwise("")
 
 
 def release_url(url: Column) -> Column:
@@ -77,9 +86,18 @@ def release_url(url: Column) -> Column:
 
 
 def private_host(url: Column) -> Column:
-    """Loopback, private and odd numeric hosts."""
-    h = host(url)
-    return (h == "localhost") | h.rlike(r"\.(local|localhost|internal)$") | h.rlike(r"^(127|10)\.") | h.rlike(r"^192\.168\.") | h.rlike(r"^172\.(1[6-9]|2[0-9]|3[01])\.") | h.rlike(r"^(0x[0-9a-f]+|[0-9]+)$") | h.rlike(r"^\[")
+    """Loopback, private, link-local, reserved and unspecified addresses, IPv6 ones too, odd numeric hosts, names of local zones."""
+    h = F.regexp_replace(host(url), r"\.+$", "")
+    mapped = F.regexp_extract(h, r"^\[::ffff:(\d+\.\d+\.\d+\.\d+)\]$", 1)
+
+    def local(a: Column) -> Column:
+        return a.rlike(r"^(0|10|127|24\d|25[0-5])\.") | a.rlike(r"^(192\.168|169\.254|198\.1[89])\.") | a.rlike(r"^172\.(1[6-9]|2\d|3[01])\.") | a.rlike(r"^(192\.0\.[02]|198\.51\.100|203\.0\.113)\.")
+
+    v4 = h.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
+    odd = h.rlike(r"^(0x[0-9a-f]+|\d+)(\.(0x[0-9a-f]+|\d+))*$") & (~v4 | h.rlike(r"(^|\.)0\d"))
+    public_v6 = h.rlike(r"^\[[23][0-9a-f]{3}:[0-9a-f:.]+\]$") & ~h.rlike(r"^\[2001:(0?db8|0{0,3}:|:)")
+    v6 = h.startswith("[") & ~F.when(mapped != "", ~local(mapped)).otherwise(public_v6)
+    return h.isin("localhost", "localhost.localdomain") | h.rlike(r"\.(local|localhost|internal)$") | (v4 & local(h)) | odd | v6 | h.contains("%")
 
 
 def safe_url(url: Column) -> Column:

@@ -12,8 +12,10 @@ from newsloom.functions import text
 def first_wins(df: DataFrame, key: Column, seq: str) -> DataFrame:
     """Adds ``is_duplicate``: a key that an earlier row (by ``seq``) has; blank keys are never merged."""
     order = W.partitionBy("__key").orderBy(seq)
-    keyed = df.withColumn("__key", key)
-    return keyed.withColumn("is_duplicate", (F.col("__key") != "") & (F.row_number().over(order) > 1)).drop("__key")
+    keyed = df.withColumn("__key", F.coalesce(key, F.lit("")))
+    # blank keys don't meet in one window
+    blank = keyed.where("__key = ''").withColumn("is_duplicate", F.lit(False))
+    return keyed.where("__key <> ''").withColumn("is_duplicate", F.row_number().over(order) > 1).unionByName(blank).drop("__key")
 
 
 def history_split(new: DataFrame, old: DataFrame, url_key, identity_key, url: str = "url") -> DataFrame:

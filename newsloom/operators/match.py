@@ -78,14 +78,18 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def similar_within(df: DataFrame, key: str, ts: str, tokens: str, hours: int, percent: int, least_common: int) -> DataFrame:
-    """Edges of rows at most ``hours`` apart with similar token sets and enough common tokens; a missing time never matches."""
-    at = df.select(F.col(key).alias("k"), F.col(ts).alias("t"))
-    pairs = jaccard_pairs(df.where(F.col(ts).isNotNull()), key, tokens, percent).where(F.col("common") >= least_common)
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    return (
-        pairs.join(at.withColumnsRenamed({"k": "a", "t": "ta"}), "a").join(at.withColumnsRenamed({"k": "b", "t": "tb"}), "b")
-        .where(F.abs(micros("ta") - micros("tb")) <= hours * 3_600_000_000).select("a", "b")
-    )
+    """Edges (a < b) of rows at most ``hours`` apart with similar token sets and enough common tokens; a missing time never matches.
+
+    An equi-join on token and time bucket: each row meets its own bucket and the
+    two beside it, so candidates grow with the rows of a token in a bucket.
+    """
+    width = hours * 3_600_000_000
+    rows = df.where(F.col(ts).isNotNull()).select(F.col(key).alias("k"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.array_distinct(tokens).alias("s"))
+    each = rows.select("k", "t", F.size("s").alias("n"), F.explode("s").alias("token"), F.floor(F.col("t") / width).alias("bucket"))
+    left = each.toDF("a", "ta", "na", "token", "bucket")
+    right = each.select("k", "t", "n", "token", F.explode(F.array(*[F.col("bucket") + i for i in (-1, 0, 1)])).alias("bucket")).toDF("b", "tb", "nb", "token", "bucket")
+    common = left.join(right, ["token", "bucket"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("ta") - F.col("tb")) <= width)).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common"))
+    return common.where((F.col("common") >= least_common) & (100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common")))).select("a", "b")
 
 
 def component_clusters(df: DataFrame, key: str, edges: DataFrame) -> DataFrame:

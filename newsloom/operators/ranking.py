@@ -26,6 +26,14 @@ def capped_selection(df: DataFrame, group: list[str], order: list[Column], reser
     return four.withColumn("picked", taken | (F.row_number().over(rest) <= F.col("__room"))).drop("__reserved", "__shared", "__first", "__second", "__left", "__room")
 
 
+def capped_levels(df: DataFrame, group: list[str], level: str, order: list[Column], reserved: Column, shared: Column, cap: int = 5, least_reserved: int = 1, least_shared: int = 3) -> DataFrame:
+    """``level`` after the cap, and ``capped``: of critical and important rows those that aren't picked become normal; other rows are no candidates."""
+    high = F.col(level).isin("critical", "important")
+    picked = capped_selection(df.where(high), group, order, reserved, shared, cap, least_reserved, least_shared)
+    rest = df.where(~F.coalesce(high, F.lit(False))).withColumn("capped", F.lit(False))
+    return picked.withColumn("capped", ~F.col("picked")).withColumn(level, F.when(F.col("picked"), F.col(level)).otherwise("normal")).drop("picked").unionByName(rest)
+
+
 def quota_selection(df: DataFrame, group: str, order: list[Column], per_group: int = 10, most: int = 15) -> DataFrame:
     """The best rows, at most ``per_group`` of each group and ``most`` in all, with their ``rank``.
 

@@ -144,6 +144,89 @@ def route(completeness: Column, cluster: Column, source: Column, risk: Column, d
     )
 
 
+#: Points of a search hit by field, beside those for the whole query in the title, all words in it, an actor, its place and the type.
+HIT_POINTS = {"summary": 15, "actors": 12, "issues": 12, "notes": 3}
+TITLE_QUERY, TITLE_WORDS, ACTOR, MAIN_ACTOR, SIDE_ACTOR, TYPE_POINTS = 100, 80, 35, 35, 20, 25
+
+
+def event_search(df: DataFrame, query: str, title: str, actors: str, types: tuple[str, dict[str, list[str]]], fields: dict[str, str], other: tuple[str, ...] = ()) -> DataFrame:
+    """Additive search: ``matched, relevance, mode``; mode irrelevant (relevance 0) if too few words match.
+
+    ``actors`` is a list column. ``fields`` maps the names of ``HIT_POINTS`` to
+    text columns; ``other`` columns count as matches without points. More than
+    half of the words relax a search, if one of those in the title or among the
+    actors is an actor, or none is there.
+    """
+    words = list(dict.fromkeys(query.split()))
+    named = F.array_join(F.coalesce(F.col(actors), F.array().cast("array<string>")), " ")
+    at = lambda c, w: F.contains(F.coalesce(c, F.lit("")), F.lit(w))
+    texts = {n: F.col(c) for n, c in fields.items()} | {"actors": named}
+    head = F.coalesce(F.col(title), F.lit(""))
+    per = [at(head, w) | at(texts["actors"], w) | any_(at(c, w) for c in [*texts.values(), *map(F.col, other)]) for w in words]
+    matched = sum((p.cast("int") for p in per), F.lit(0))
+    person = any_(at(head, w) | at(named, w) for w in words)
+    relaxed = (matched >= max(1, len(words) // 2 + 1)) & (any_(at(named, w) for w in words) | ~person)
+    mode = F.when(matched >= len(words), "strict").when(relaxed, "relaxed").otherwise("irrelevant")
+    score = F.when(F.contains(head, F.lit(" ".join(words))), TITLE_QUERY).when(all_(at(head, w) for w in words), TITLE_WORDS).otherwise(0)
+    # the first word that names an actor counts, more if the title begins with that actor
+    hit = F.lit(0)
+    for w in reversed(words):
+        hit = F.when(at(named, w), ACTOR + F.when(_leads(head, F.col(actors), w), MAIN_ACTOR).otherwise(SIDE_ACTOR)).otherwise(hit)
+    score = score + hit
+    kind, table = types
+    for name, typical in table.items():
+        if any(t in " ".join(words) for t in typical):
+            score = score + F.when(F.col(kind) == name, TYPE_POINTS).otherwise(0)
+    for w in words:
+        for n, c in texts.items():
+            score = score + F.when(at(c, w), HIT_POINTS[n]).otherwise(0)
+    return df.withColumns({"matched": matched.cast("long"), "mode": mode}).withColumn("relevance", F.when(F.col("mode") == "irrelevant", 0).otherwise(score).cast("long"))
+
+
+def _leads(head: Column, actors: Column, word: str) -> Column:
+    return F.exists(F.coalesce(actors, F.array().cast("array<string>")), lambda a: F.startswith(head, a) & F.contains(a, F.lit(word)))
+
+
+def any_(conditions) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out
+
+
+def all_(conditions) -> Column:
+    out = F.lit(True)
+    for c in conditions:
+        out = out & c
+    return out
+
+
+#: What a candidate without a label needs for review.
+REVIEW = {"cluster_confidence": 0.35, "source_confidence": 0.30, "completeness": 0.40}
+
+
+def route_candidate(label: Column, fact: Column, statement: Column, duplicate: Column, date_basis: Column, sources: Column, risk: Column, scores: dict[str, Column]) -> Column:
+    """Struct of ``route`` and ``reasons``: labels decide first, then duplicates, then what an event or a statement lacks; candidates without a label need their scores."""
+    unknown, none = F.coalesce(date_basis, F.lit("")) == "unknown", F.coalesce(sources, F.lit(0)) == 0
+    lacks = lambda named: F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in named.items()]))
+    event = lacks({"direct_event_without_observed_fact": ~fact, "date_unknown": unknown, "no_valid_source": none})
+    said = lacks({"direct_statement_without_actor_statement": ~statement, "direct_statement_risk_too_low": F.coalesce(risk, F.lit("low")) == "low", "date_unknown": unknown, "no_valid_source": none})
+    plain = lacks({"no_observed_fact_no_statement": ~fact & ~statement, "date_unknown": unknown, **{f"low_{n}": scores[n] < least for n, least in REVIEW.items()}})
+    verdict = lambda route, reasons: F.struct(F.lit(route).alias("route"), reasons.alias("reasons"))
+    one = lambda reason: F.array(F.lit(reason))
+    held = lambda reasons, good: F.when(F.size(reasons) > 0, verdict("hold", reasons)).otherwise(verdict("review_required", one(good)))
+    name = F.coalesce(label, F.lit(""))
+    return (
+        F.when(name.isin("irrelevant", "collection_error"), verdict("auto_reject", F.array(F.concat(F.lit("relevance_label_"), name))))
+        .when((name == "contextual") & ~fact & ~statement, verdict("hold", one("contextual_without_actionable_assertion")))
+        .when(name == "contextual", verdict("context_only", one("contextual_no_direct_event_or_statement")))
+        .when(duplicate, verdict("duplicate_candidate", one("formal_duplicate_or_existing_candidate")))
+        .when(name == "direct_event", held(event, "direct_event_eligible"))
+        .when(name == "direct_statement", held(said, "direct_statement_eligible"))
+        .otherwise(held(plain, "eligible_for_review"))
+    )
+
+
 def gates(df: DataFrame, named: dict[str, Column]) -> DataFrame:
     """Adds ``failed_gates`` and ``passed``: every named condition must hold; unknown counts as failed."""
     failed = F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in named.items()]))

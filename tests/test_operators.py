@@ -46,10 +46,68 @@ def test_one_url_through_five_rules(spark):
     assert one(spark, urls.collector_url(u)) == "https://user@www.example.com:8443/news/a?a=1&b=2&ref=r&utm_term=t"
     assert one(spark, urls.candidate_url(u)) == "https://www.example.com/news/a?a=1&b=2"
     assert one(spark, urls.event_url(u)) == "https://user@www.example.com:8443/News/A?a=1&b=2&ref=r"
-    assert one(spark, urls.newsletter_url(u)) == "https://www.example.com/News/A/?a=1&b=2"
+    assert one(spark, urls.newsletter_url(u)) == ""
     assert one(spark, urls.newsletter_url(F.lit("https://127.0.0.1/x"))) == ""
 
 
+def test_newsletter_links(spark):
+    cases = {
+        "https://WWW.Example.com:8443/News/A/?b=2&utm_x=1&a=1&trk=t&MKT_tok=q&igshid=7#top": "https://www.example.com:8443/news/a?a=1&b=2&igshid=7",
+        " <https://Example.com> ": "https://example.com/", "https://example.com/?empty=&from=x": "https://example.com/?empty=", "https://example.com./x": "https://example.com/x",
+        "http://example.com/x": "", "https://user:word@example.com/": "", "https://169.254.1.1/": "", "https://0.0.0.0/": "", "https://[::1]/": "", "https://[fe80::1]/": "",
+        "https://[::ffff:10.0.0.1]/": "", "https://0x7f000001/": "", "https://2130706433/": "", "https://010.1.1.1/": "", "https://box.local/": "", "https://8.8.8.8/A": "https://8.8.8.8/a",
+        "https://[2606:4700::1]/": "https://[2606:4700::1]/", "not a link": "",
+    }
+    rows = spark.createDataFrame([(u,) for u in cases], "u string").select("u", urls.newsletter_url(F.col("u")).alias("v")).collect()
+    assert {r["u"]: r["v"] for r in rows} == cases
+
+
+def split_by_hand(message, most):
+    if len(message) <= most:
+        return [message]
+    head, *lines = message.split("\n")
+    room, parts, own = max(most - len(head) - 60, 20), [], None
+    for line in lines:
+        if len(line) + 1 > room:
+            link = line[line.find("http") :] if "http" in line else ""
+            if link and len(link) < room - 10:
+                line = line[: room - len(link) - 4] + "..." + link
+            else:
+                line = (link or line)[: room - 3] + "..."
+        if own is not None and len(own) + 1 + len(line) + 1 > room:
+            parts.append(own)
+            own = line
+        else:
+            own = line if own is None else own + "\n" + line
+    parts += [own] if own is not None else []
+    return [f"{head}\n{i}/{len(parts)}\n\n{p}" for i, p in enumerate(parts, 1)]
+
+
+def test_message_parts(spark):
+    r = random.Random(5)
+    messages = ["", "short", "a" * 300, "head\n" + "b" * 500, "head\n" + "c" * 200 + " https://example.com/" + "d" * 30, "h\n\n\n" + "e" * 190]
+    messages += ["\n".join("x" * r.randint(0, 90) for _ in range(r.randint(1, 20))) for _ in range(40)]
+    rows = spark.createDataFrame(list(enumerate(messages)), "i int, m string").select("i", text.message_parts(F.col("m"), 200).alias("parts")).collect()
+    for r_ in rows:
+        assert r_["parts"] == split_by_hand(messages[r_["i"]], 200), r_["i"]
+        assert all(len(p) <= 200 for p in r_["parts"]) or len(messages[r_["i"]].split("\n")[0]) > 120
+
+
+def test_routes_by_label(spark):
+    row = lambda **k: {"label": None, "fact": True, "said": True, "dup": False, "basis": "title", "n": 2, "risk": "high", "s": 1.0} | k
+    cases = [
+        (row(label="irrelevant", dup=True), "auto_reject", ["relevance_label_irrelevant"]), (row(label="contextual"), "context_only", ["contextual_no_direct_event_or_statement"]),
+        (row(label="contextual", fact=False, said=False, dup=True), "hold", ["contextual_without_actionable_assertion"]), (row(label="direct_event", dup=True), "duplicate_candidate", ["formal_duplicate_or_existing_candidate"]),
+        (row(label="direct_event", fact=False, basis="unknown", n=0), "hold", ["direct_event_without_observed_fact", "date_unknown", "no_valid_source"]), (row(label="direct_event"), "review_required", ["direct_event_eligible"]),
+        (row(label="direct_statement", risk="low"), "hold", ["direct_statement_risk_too_low"]), (row(label="direct_statement"), "review_required", ["direct_statement_eligible"]),
+        (row(s=0.33), "hold", ["low_cluster_confidence", "low_completeness"]), (row(), "review_required", ["eligible_for_review"]),
+    ]
+    df = spark.createDataFrame([c for c, *_ in cases], "label string, fact boolean, said boolean, dup boolean, basis string, n int, risk string, s double").coalesce(1)
+    c = F.col
+    got = df.select(rules.route_candidate(c("label"), c("fact"), c("said"), c("dup"), c("basis"), c("n"), c("risk"), {k: c("s") for k in rules.REVIEW}).alias("v")).collect()
+    assert [(r["v"]["route"], r["v"]["reasons"]) for r in got] == [(route, reasons) for _, route, reasons in cases]
+
+
 def test_overlap_measures_differ(spark):
     a, b = F.lit("abcd"), F.lit("abdc")
     assert one(spark, text.overlap(text.characters(a), text.characters(b))) == 1.0
