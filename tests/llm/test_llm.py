@@ -579,6 +579,50 @@ def test_empty_tables(spark, corpus):
     assert licenses.scan_licenses(none, licenses.known_licenses(spark)).count() == 0
 
 
+def test_pipeline_against_brute_force(spark):
+    """Stage by stage over the smallest tables: exact sets where a rule is exact, windows and coverage where a method finds passages."""
+    import corpus_pipeline
+
+    sentencepiece = pytest.importorskip("sentencepiece")
+    duck = connect(DATA)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").cache()
+    shape, items = docs.columns, [words(t) for (t,) in duck.execute("select text from benchmark").fetchall()]
+    frames = [{r["doc_id"]: r for r in docs.collect()}]
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, DATA).cache()
+        frames.append({r["doc_id"]: r for r in docs.collect()})
+        assert docs.count() == len(frames[-1]) and (len(frames) == 6 or docs.columns == shape)
+    start, good, single, cut, clean, coded = frames
+    assert set(good) == {r[0] for r in duck.execute(f"select doc_id from ({sql.ORACLE['op2_quality_rules']}) where kept").fetchall()}
+
+    grams = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, r in good.items() if (w := words(r["text"]))}
+    edges = [(a, b) for a, b in combinations(sorted(grams), 2) if 100 * len(grams[a] & grams[b]) >= 80 * len(grams[a] | grams[b])]
+    first = components(edges, good)
+    assert set(single) == {i for i in good if first[i] == i} and all(single[i]["text"] == good[i]["text"] for i in single)
+
+    windows = lambda w: {tuple(w[j : j + 50]) for j in range(len(w) - 49)}
+    seen = set()
+    for i in sorted(single):
+        own = windows(words(single[i]["text"]))
+        left = words(cut[i]["text"]) if i in cut else []
+        assert not windows(left) & seen
+        if not grams[i] & set().union(*(grams[j] for j in single if j < i), set()):
+            assert cut[i]["text"] == single[i]["text"]
+        if i in cut:
+            assert cut[i]["n_chars"] == (len(cut[i]["text"]) if cut[i]["text"] != single[i]["text"] else single[i]["n_chars"])
+        seen |= own
+
+    fives = lambda w: {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+    for i, r in cut.items():
+        own, text = fives(words(r["text"])), b" " + b" ".join(words(r["text"])) + b" "
+        if any(len(x) >= 5 and b" " + b" ".join(x) + b" " in text for x in items):
+            assert i not in clean
+        if not any(own & fives(x) for x in items):
+            assert i in clean and clean[i]["text"] == r["text"]
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    assert set(coded) == set(clean) and all(coded[i]["ids"] == library.encode(r["text"]) for i, r in clean.items())
+
+
 @pytest.mark.parametrize("name", sorted(sql.ORACLE))
 def test_query_equals_sql(spark, name):
     assert_same(queries.QUERIES[name](spark, DATA), connect(DATA), sql.ORACLE[name])
