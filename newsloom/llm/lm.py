@@ -29,10 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.kernel import SLICE, Words, signed
-from newsloom.storage import bounded_batches, cut
+from newsloom.storage import bounded_batches, cut, release
 
 DEPTH = 4
-CHUNK = 8 << 20
+CHUNK = 16 << 20
 #: Bytes whose grams are sorted at once.
 SPAN = 1 << 18
 END = b"\n"
@@ -271,11 +271,13 @@ def score_texts(docs: DataFrame) -> DataFrame:
     grams = chunks.select("chunk", "grams", "n_grams").mapInArrow(_unpack(), rows)
     totals = words.groupBy("key").agg(F.sum("n").alias("c"))
     counted = totals.agg(F.count_if(F.col("c") > 0).alias("v"), F.sum("c").alias("n")).first()
+    release(docs.sparkSession)
     held = F.udf(held_out, "boolean", useArrow=True)
     train_docs = base.select("doc_id").where(~held("doc_id")).count()
     n, v = (counted["n"] or 0) + train_docs, (counted["v"] or 0) + (train_docs > 0)
     known = words.join(totals.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).select("chunk", F.lit(0).alias("kind"), "key", F.col("c").cast("double").alias("value"))
     values = cut(gram_values(grams.select(F.col("key").alias("gram"), "n")))
+    release(docs.sparkSession)
     valued = grams.join(values, F.col("key") == F.col("gram")).select("chunk", F.lit(1).alias("kind"), "key", "value")
     return (
         chunks.select("chunk", "ids", "lengths", "body").groupBy("chunk")
