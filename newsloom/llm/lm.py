@@ -6,8 +6,7 @@ is eight binary decisions; for each decision the last 0..D bytes form a chain
 of contexts, each with a Krichevsky-Trofimov estimator. The tree weights all
 depths: P_w = (P_kt + product of children's P_w) / 2, so the probability of a
 bit mixes the estimates along its chain by their posterior weights. Counts come
-from the training documents and then stay fixed; score / bytes / log10(2) is the
-code length per byte.
+from the training documents and then stay fixed.
 
 Spark gathers the counts. Texts are packed into chunks once (checkpointed);
 each chunk sends its distinct words and (D+1)-grams with their training counts,
@@ -36,7 +35,7 @@ CHUNK = 16 << 20
 #: Bytes whose grams are sorted at once.
 SPAN = 1 << 18
 END = b"\n"
-SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double"
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -249,6 +248,7 @@ def _score(train_tokens: int, vocabulary: int, train_docs: int):
                 "doc_id": pa.array(ids, pa.int64()), "held_out": pa.array([held_out(i) for i in ids]), "n_tokens": pa.array(n + 1, pa.int64()),
                 "n_known": pa.array(np.diff(known[bounds]).astype(np.int64) + int(train_docs > 0)), "train_tokens": pa.array(np.full(len(ids), train_tokens)),
                 "base_score": pa.array(np.diff(base[bounds]) + math.log10((train_docs + 0.5) / unit)), "score": pa.array(scores),
+                "bits_per_byte": pa.array(-scores / math.log10(2) / np.asarray(lengths)),
             }))
         return pa.concat_tables(out)
 
@@ -256,7 +256,9 @@ def _score(train_tokens: int, vocabulary: int, train_docs: int):
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row.
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte`` for every row.
+
+    ``bits_per_byte`` is the code length per byte of the lower-cased words, joined by one space, and the end.
 
     Learns from documents whose crc32(doc_id as text) mod 5 isn't 1. Defined
     results: a null or empty text is its end alone; a null doc_id counts as the

@@ -407,6 +407,7 @@ def test_context_tree_equals_brute_force(spark, monkeypatch):
             total += math.log10(mass if bit else 1 - mass)
         x, own = got[i], [*words(t), b"\n"]
         assert math.isclose(x["score"], total, rel_tol=1e-6)
+        assert math.isclose(x["bits_per_byte"], -total / math.log10(2) / len(lm.normal((t or "").encode())), rel_tol=1e-6)
         assert math.isclose(x["base_score"], sum(math.log10((token[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own), rel_tol=1e-9)
         assert (x["n_tokens"], x["n_known"], x["train_tokens"], x["held_out"]) == (len(own), sum(token[w] > 0 for w in own), n, held[i])
 
