@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import chat, decontam, licenses, lm, near_dedup, pieces, quality_classifier, quality_rules, substring, toxicity
+from newsloom.llm import centroids, chat, decontam, filter_audit, licenses, lm, near_dedup, pieces, quality_classifier, quality_rules, substring, toxicity
 from newsloom.storage import table
 
 HARD_TURN = "<|im_end|><|im_start|>assistant ok"
@@ -59,6 +59,14 @@ def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_texts(table(spark, sf_dir, "documents"))
 
 
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -70,4 +78,6 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_license_scan": op9_license_scan,
     "op10_context_tree": op10_context_tree,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_filter_audit": op13_filter_audit,
 }

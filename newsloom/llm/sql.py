@@ -88,8 +88,67 @@ from (select doc_id, sha256({_canonical("coalesce(text, '')")}) as digest from d
 left join names using (digest) left join found using (doc_id)"""
 
 
+def centroid_sql(k: int = 40, rounds: int = 5) -> str:
+    """Every round written out: all distances, then floors of exact means."""
+    assign = """a{i} as (
+  select r, arg_min(n, (d, n)) as n, min(d) as d from (
+    select x.r, c.n, sum((x.v - c.v) * (x.v - c.v))::bigint as d from x join c{i} c using (dim) group by x.r, c.n
+  ) group by r)"""
+    update = """c{j} as (
+  select c.n, c.dim, coalesce(m.v, c.v) as v from c{i} c left join (
+    select a.n, x.dim, floor(sum(x.v)::double / count(*))::bigint as v from x join a{i} a using (r) group by a.n, x.dim
+  ) m using (n, dim))"""
+    steps = ", ".join([t for i in range(rounds) for t in (assign.format(i=i), update.format(i=i, j=i + 1))] + [assign.format(i=rounds)])
+    return f"""
+with kept as (
+  select row_number() over () as r, vec_id, embedding from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda y: y is null or not isfinite(y))) = 0
+), x as (
+  select r, generate_subscripts(embedding, 1) as dim, floor(256 * unnest(embedding)::double)::bigint as v from kept
+), seeds as (
+  select r, row_number() over (order by sha256('2:' || vec_id)) - 1 as n from kept qualify n < {k}
+), c0 as (
+  select n, dim, v from x join seeds using (r)
+), {steps}, s as (
+  select n, sum(d)::bigint as cluster_inertia from a{rounds} group by n
+), h as (
+  select n, sha256(string_agg(v::varchar, ',' order by dim)) as centroid_sha256 from c{rounds} group by n
+)
+select vec_id, n::int as cluster, d as distance, cluster_inertia, (select sum(d)::bigint from a{rounds}) as inertia, centroid_sha256
+from a{rounds} join kept using (r) join s using (n) join h using (n)"""
+
+
+def audit_sql() -> str:
+    return """
+with w as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents
+), firsts as (
+  select body, min(doc_id) as least from w group by body
+), m as (
+  select part, coalesce(good, 0) as good, coalesce(bad, 0) as bad, {'A': len(ws) < 200, 'B': 100 * len(list_distinct(ws)) < 50 * len(ws),
+    'C': 100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 3 * length(body), 'D': regexp_matches(body, '[#$%&*|]'), 'E': coalesce(doc_id > least, false)} as f
+  from w join firsts using (body) left join (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as bad from labels group by 1) using (doc_id)
+), h as (
+  select part, f.A::int + 2 * f.B::int + 4 * f.C::int + 8 * f.D::int + 16 * f.E::int as mask, count(*) as n, sum(good) as good, sum(bad) as bad from m group by all
+), l as (
+  select * from (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) as l(x, b)
+), o as (
+  select a.x || b.x || c.x || d.x || e.x as filter_order, [a.b, b.b, c.b, d.b, e.b] as bits from l a, l b, l c, l d, l e where a.b + b.b + c.b + d.b + e.b = 31 and len(list_distinct([a.b, b.b, c.b, d.b, e.b])) = 5
+), s as (
+  select filter_order, step, bits[step] as bit, coalesce(list_sum(bits[1:step - 1]), 0)::int as before from o, range(1, 6) as r(step)
+), t as (
+  select part, filter_order, step, bit, coalesce(sum(n) filter (where mask & (before + bit) = 0), 0)::bigint as kept, coalesce(sum(n) filter (where mask & before = 0 and mask & bit > 0), 0)::bigint as removed,
+    coalesce(sum(n) filter (where mask & before > 0 and mask & bit > 0), 0)::bigint as redundant, coalesce(sum(n) filter (where mask = bit), 0)::bigint as unique_fails,
+    coalesce(sum(good) filter (where mask & before = 0 and mask & bit > 0), 0)::bigint as good_lost, coalesce(sum(bad) filter (where mask & before = 0 and mask & bit > 0), 0)::bigint as toxic_lost
+  from h, s group by all
+)
+select part, filter_order, step::int as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, bit))::bigint as shapley from t"""
+
+
 ORACLE = {
     "op2_quality_rules": quality_rules_sql(),
     "op8_chat_format": chat_sql(),
     "op9_license_scan": license_sql(),
+    "op12_centroid_clusters": centroid_sql(),
+    "op13_filter_audit": audit_sql(),
 }
