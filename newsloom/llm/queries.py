@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import centroids, chat, decontam, filter_audit, licenses, lm, near_dedup, pieces, quality_classifier, quality_rules, substring, toxicity
+from newsloom.llm import centroids, chat, decontam, filter_audit, licenses, lm, near_dedup, pieces, quality_classifier, quality_rules, substring, suffixes, toxicity
 from newsloom.storage import table
 
 HARD_TURN = "<|im_end|><|im_start|>assistant ok"
@@ -59,6 +59,12 @@ def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_texts(table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffixes.remove_repeated_strings(table(spark, sf_dir, "documents"))
+    removed = (F.col("n_bytes") - F.length("kept")).alias("n_removed")
+    return left.select("doc_id", "n_bytes", removed, F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.centroid_clusters(table(spark, sf_dir, "embeddings"))
 
@@ -78,6 +84,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_license_scan": op9_license_scan,
     "op10_context_tree": op10_context_tree,
+    "op11_suffix_array_dedup": op11_suffix_array_dedup,
     "op12_centroid_clusters": op12_centroid_clusters,
     "op13_filter_audit": op13_filter_audit,
 }
