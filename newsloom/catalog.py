@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsloom.plans import core_a, core_b, core_c, core_d
+from newsloom.plans import core_a, core_b, core_c, core_d, core_e
 
-QUERIES = {**core_a.QUERIES, **core_b.QUERIES, **core_c.QUERIES, **core_d.QUERIES}
-ORACLE = {**core_a.ORACLE, **core_b.ORACLE, **core_c.ORACLE, **core_d.ORACLE}
+QUERIES = {**core_a.QUERIES, **core_b.QUERIES, **core_c.QUERIES, **core_d.QUERIES, **core_e.QUERIES}
+ORACLE = {**core_a.ORACLE, **core_b.ORACLE, **core_c.ORACLE, **core_d.ORACLE, **core_e.ORACLE}

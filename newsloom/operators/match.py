@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import DoubleType
 
-from newsloom.functions import times
 from newsloom.operators.components import connected_components
 
 
@@ -96,34 +95,3 @@ def component_clusters(df: DataFrame, key: str, edges: DataFrame) -> DataFrame:
     """``key, cluster``: the smallest member of each row's component; a row without edges is its own."""
     label = connected_components(edges).withColumnRenamed("node", "__n")
     return df.select(key).join(label, F.col(key) == F.col("__n"), "left").select(key, F.coalesce("component", F.col(key)).alias("cluster"))
-
-
-def clique_clusters(df: DataFrame, key: str, seq: str, edges: DataFrame) -> DataFrame:
-    """``key, cluster``: greedy cliques in the order of ``seq``; a row joins the first cluster all of whose members it matches.
-
-    Cliques lie within components, so each component is a block of its own; an
-    inherently sequential pass runs in each block.
-    """
-    blocks = component_clusters(df, key, edges)
-    near = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.collect_set("b").alias("near"))
-    rows = df.select(key, seq).join(blocks.withColumnsRenamed({key: "__k", "cluster": "block"}), F.col(key) == F.col("__k")).join(near, F.col(key) == F.col("a"), "left").select(F.col(key).alias("id"), F.col(seq).alias("seq"), "block", "near")
-
-    def place(frame: pd.DataFrame) -> pd.DataFrame:
-        clusters: list[list] = []
-        for r in frame.sort_values(["seq", "id"]).itertuples():
-            near_ids = set(r.near) if r.near is not None else set()
-            home = next((c for c in clusters if all(m in near_ids for m in c)), None)
-            clusters.append([r.id]) if home is None else home.append(r.id)
-        return pd.DataFrame([(m, c[0]) for c in clusters for m in c], columns=["id", "cluster"])
-
-    kind = dict(df.dtypes)[key]
-    return rows.groupBy("block").applyInPandas(place, f"id {kind}, cluster {kind}").withColumnRenamed("id", key)
-
-
-def event_id(version: str, day: Column, entities: Column, groups: Column) -> Column:
-    """Content id of a cluster: hash over version, day and sorted features."""
-    return F.sha2(F.concat_ws("\x1f", F.lit(version), day.cast("string"), F.array_join(F.array_sort(entities), ","), F.array_join(F.array_sort(groups), ",")), 256)
-
-
-def date_score(a: Column, b: Column) -> Column:
-    return times.closeness(times.floor_days(a, b))

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from newsloom.functions import text as T
 from newsloom.functions import times
-from newsloom.operators import dedup, match, ranking, rules, state
+from newsloom.operators import clustering, dedup, match, ranking, rules, state
 from newsloom.storage import table
 
 QUERIES, ORACLE = {}, {}
@@ -421,7 +421,7 @@ def near_dup_components_day(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def near_dup_cliques(spark: SparkSession, d: str) -> DataFrame:
     p, edges = _part_edges(table(spark, d, "part"))
-    return match.clique_clusters(p.withColumn("seq", F.col("p_partkey")), "p_partkey", "seq", edges)
+    return clustering.greedy_cliques(p.withColumn("seq", F.col("p_partkey")), "p_partkey", "seq", edges)
 
 
 @query()

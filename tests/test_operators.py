@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from newsloom.functions import text, times, urls
-from newsloom.operators import components, dedup, match, ranking, rules
+from newsloom.operators import clustering, components, dedup, match, ranking, rules
 from newsloom.plans import core_b
 from newsloom.sources import feeds
 from newsloom.storage import table
@@ -146,9 +146,9 @@ def test_components_of_chains_and_cycles(spark):
 def test_cliques_need_every_member(spark):
     df = spark.createDataFrame([(1, 1), (2, 2), (3, 3), (4, 4)], "id long, seq long")
     edges = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
-    assert {r["id"]: r["cluster"] for r in match.clique_clusters(df, "id", "seq", edges).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert {r["id"]: r["cluster"] for r in clustering.greedy_cliques(df, "id", "seq", edges).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
     turned = df.withColumn("seq", -F.col("seq"))
-    assert {r["id"]: r["cluster"] for r in match.clique_clusters(turned, "id", "seq", edges).collect()} == {3: 3, 2: 3, 1: 1, 4: 4}
+    assert {r["id"]: r["cluster"] for r in clustering.greedy_cliques(turned, "id", "seq", edges).collect()} == {3: 3, 2: 3, 1: 1, 4: 4}
 
 
 def test_jaccard_pairs_equal_all_pairs(spark):
