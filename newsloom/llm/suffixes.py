@@ -33,7 +33,7 @@ from newsloom.llm.induced import suffix_array
 from newsloom.llm.kernel import SLICE, mix, signed, span_hashes
 from newsloom.storage import bounded_batches, cut, release, written
 
-LENGTH, GRAM, BLOCK = 400, 100, 16
+LENGTH, GRAM, BLOCK = 400, 200, 16
 CHUNK, SHARD, CROWD = 8 << 20, 2 << 20, 2048
 #: Bytes of segments for each task that sorts shards.
 TASK = 8 << 20
@@ -130,10 +130,13 @@ def _index(length: int, gram: int):
 
 
 def _judge(rows: DataFrame) -> DataFrame:
-    """``core, own, n, home, kinds``: the kinds of pieces whose core occurs more than once, from ``home, core, own, n``; one home sends each kind on."""
+    """``core, own, n, home, kinds, open``: the kinds of pieces whose core occurs more than once, from ``home, core, own, n``.
+
+    One home sends each kind on; a core isn't ``open`` if all its kinds occur more than once.
+    """
     kinds = rows.groupBy("core", "own").agg(F.sum("n").alias("n"), F.min("home").alias("home"))
-    cores = kinds.groupBy("core").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).where("total > 1")
-    return cut(kinds.join(cores.select("core", "kinds"), "core"))
+    cores = kinds.groupBy("core").agg(F.count("*").alias("kinds"), F.sum("n").alias("total"), (F.min("n") == 1).alias("open")).where("total > 1")
+    return cut(kinds.join(cores.select("core", "kinds", "open"), "core"))
 
 
 def _sent(length: int, gram: int):
@@ -256,11 +259,11 @@ def _crowded(crowd: DataFrame, length: int) -> DataFrame:
     blocks = crowd.mapInArrow(_blocks(length, BLOCK), PIECE)
     rows = blocks.select(home, "core", "own", "n", "windows")
     found = _judge(rows)
-    mine = found.where("kinds > 1").select("core", "own", F.col("home").alias("sender"), F.col("n").alias("times"), "kinds")
+    mine = found.where("kinds > 1 and open").select("core", "own", F.col("home").alias("sender"), F.col("n").alias("times"), "kinds")
     asked = blocks.join(mine, ["core", "own"]).where(F.struct("chunk", "root", "offset") == F.col("sender")).withColumn("n", F.col("times"))
     names = [c.split()[0] for c in PIECE.split(", ")]
     single = asked.where(F.col("kinds") > CROWD).select(*names).mapInArrow(_blocks(length, 1), PIECE).select(home, "core", "own", "n", "windows")
-    tasks = _tasks(found.where(F.col("kinds").between(2, CROWD)), length + BLOCK)
+    tasks = _tasks(found.where(F.col("open") & F.col("kinds").between(2, CROWD)), length + BLOCK)
     return (
         _whole(rows, found, *span).unionByName(_sorted(asked.where(F.col("kinds") <= CROWD).select(*names), tasks, length))
         .unionByName(_whole(single, _judge(single), *span))
@@ -327,10 +330,10 @@ def remove_repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = G
     rows, _ = written(bodies.mapInArrow(_index(length, gram), "home bigint, core bigint, own bigint, n bigint"))
     found = _judge(rows)
     release(spark)
-    asked = found.where("kinds > 1")
+    asked = found.where("kinds > 1 and open")
     pieces = bodies.groupBy("chunk").cogroup(asked.select(F.col("home").alias("chunk"), "own", "n").groupBy("chunk")).applyInArrow(_sent(length, gram), PIECE)
     verdicts = _whole(rows, found, F.col("home").alias("chunk"), F.col("own").alias("root"), F.lit(0).alias("start"), F.lit(ALL).alias("stop"))
-    crowd = found.where(F.col("kinds") > CROWD).select("core").distinct()
+    crowd = asked.where(F.col("kinds") > CROWD).select("core").distinct()
     if crowd.limit(1).count():
         pieces, _ = written(pieces.join(crowd.withColumn("crowded", F.lit(True)), "core", "left").fillna(False, ["crowded"]))
         more = _crowded(pieces.where("crowded").drop("crowded").select(*[c.split()[0] for c in PIECE.split(", ")]), length)
