@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 FILTERS = "ABCDE"
 ORDERS = ["".join(p) for p in permutations(FILTERS)]
@@ -80,8 +81,8 @@ def failure_histograms(docs: DataFrame, labels: DataFrame, part: str = "lang") -
     keys = ["same", "part", "mask", "good", "toxic"]
     ids = rows.groupBy(*keys, "doc_id").agg(F.count("*").alias("n"))
     texts = ids.groupBy(*keys).agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "n"))).alias("first"), F.sum("n").alias("n"), F.sum(F.when(F.col("doc_id").isNull(), F.col("n")).otherwise(0)).alias("lost"))
-    least = texts.groupBy("same").agg(F.min("first.doc_id").alias("least"), F.count("*").alias("kinds"))
-    judged = texts.join(least.where("kinds > 1").withColumnRenamed("same", "again"), F.col("same") == F.col("again"), "left")
+    # by now a text is one row for each part and pair of labels that it has
+    judged = texts.withColumn("least", F.min("first.doc_id").over(W.partitionBy("same")))
     own = F.col("lost") + F.when(F.col("first").isNull() | (F.col("first.doc_id") > F.col("least")), 0).otherwise(F.col("first.n"))
     halves = F.array(F.struct(F.col("mask").alias("mask"), own.alias("n")), F.struct((F.col("mask") + 16).alias("mask"), (F.col("n") - own).alias("n")))
     counted = (
