@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from newsloom.operators import grounding, resolution
+from newsloom.operators import chains, distributions, documents, grounding, resolution
 from newsloom.storage import table
 
 QUERIES, ORACLE = {}, {}
@@ -102,3 +103,115 @@ def names_in_documents(spark: SparkSession, d: str) -> DataFrame:
     """How often the first words of each benchmark item stand in each document, one automaton for all."""
     names = table(spark, d, "benchmark").select(F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("name"))
     return resolution.names_in_texts(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), names)
+
+
+def _states(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Each event's state as a JSON document, before (the user's last event) and after."""
+    note = F.when(F.col("value") < 10, F.lit('""')).when(F.col("value") < 25, "null").otherwise('"x"')
+    extra = F.when(F.col("value") > 60, F.lit(',"extra":{"high":[1,{"a":[]}]}')).otherwise("")
+    tags = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('["'), "event_type", F.lit('","all"]'))).otherwise(F.concat(F.lit('["all","'), "event_type", F.lit('"]')))
+    doc = F.concat(F.lit('{"checked_at":'), F.col("event_id").cast("string"), F.lit(',"state":{"type":"'), "event_type", F.lit('","props":'), "props", F.lit(',"note":'), note, extra, F.lit('},"tags":'), tags, F.lit("}"))
+    e = table(spark, d, "events").select("event_id", doc.alias("doc"), F.lag(doc).over(W.partitionBy("user_id").orderBy("ts", "event_id")).alias("earlier"))
+    pairs = e.where("earlier is not null")
+    return pairs.select("event_id", F.col("earlier").alias("doc")), pairs.select("event_id", "doc")
+
+
+@query("""with e as (select event_id, event_type as t, props as p, case when value < 25 then '' else 'x' end as note, value > 60 as extra, lag(event_id) over w as before, lag(event_type) over w as t0, lag(props) over w as p0,
+  lag(case when value < 25 then '' else 'x' end) over w as note0, lag(value > 60) over w as extra0 from events window w as (partition by user_id order by ts, event_id)), q as (select * from e where before is not null)
+select event_id as id, 'state.type' as path, 'changed' as change from q where t <> t0 union all select event_id, 'tags', 'changed' from q where t <> t0 union all select event_id, 'state.props.k', 'changed' from q where p <> p0
+union all select event_id, 'state.note', 'changed' from q where note <> note0 union all select event_id, 'state.extra', case when extra then 'added' else 'removed' end from q where extra <> extra0""")
+def json_state_diff(spark: SparkSession, d: str) -> DataFrame:
+    """Paths at which each event's state differs from the one before: JSON of any depth, lists as sets, null as '', a metadata key left out."""
+    return documents.path_diff(*_states(spark, d), "event_id", "doc", ("checked_at",))
+
+
+@query("""with h as (select event_type as t, props as p, case when value < 25 then '' else 'x' end as note, value > 60 as extra, lag(event_id) over (partition by user_id order by ts, event_id) as before from events)
+select count(*)::bigint as n_documents, count(distinct (t, p, note, extra))::bigint as n_states from h where before is not null""")
+def json_canonical_states(spark: SparkSession, d: str) -> DataFrame:
+    """How many different states the events' documents have, by the hash of their canonical form."""
+    hashes = documents.canonical_hash(_states(spark, d)[1], "event_id", "doc", ("checked_at",))
+    return hashes.agg(F.count("*").alias("n_documents"), F.countDistinct("hash").alias("n_states"))
+
+
+@query("""with t as (select event_id, event_id % 6 as kind, event_type as t, props as p from events)
+select event_id, case kind when 0 then p when 1 then p when 2 then p when 3 then '{"a": ' || p || ', "s": "}"}' end as value,
+  case kind when 0 then '' when 1 then 'trimmed_outer_whitespace' when 2 then 'unwrapped_single_json_fence' when 3 then 'extracted_unique_json_object' when 4 then 'objects:2' else 'objects:0' end as steps from t""")
+def json_from_text(spark: SparkSession, d: str) -> DataFrame:
+    """The one JSON object in answers made from every event: bare, padded, fenced, among words, twice, broken."""
+    kind, p = F.col("event_id") % 6, F.col("props")
+    text = (
+        F.when(kind == 0, p).when(kind == 1, F.concat(F.lit("\n "), p, F.lit(" "))).when(kind == 2, F.concat(F.lit("```json\n"), p, F.lit("\n```")))
+        .when(kind == 3, F.concat(F.lit('The "answer" is {"a": '), p, F.lit(', "s": "}"} as {'), "event_type", F.lit("}"))).when(kind == 4, F.concat(p, F.lit(" or "), p)).otherwise(F.concat(F.lit("{"), p))
+    )
+    found = documents.json_in_text(text)
+    return table(spark, d, "events").select("event_id", found.alias("o")).select("event_id", "o.value", "o.steps")
+
+
+def _versions(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as versions: most are superseded by the customer's next order, some by one that doesn't exist, some in cycles of two."""
+    by = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    following = F.when(F.col("o_orderkey") % 11 == 0, None).when(F.col("o_orderkey") % 13 == 0, -F.col("o_orderkey")).when((F.col("o_orderkey") % 7 == 0) & F.lag("o_orderkey").over(by).isNotNull(), F.lag("o_orderkey").over(by)).otherwise(F.lead("o_orderkey").over(by))
+    return table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", following.alias("superseded_by"), (F.col("o_orderkey") % 3 == 0).alias("active"))
+
+
+_VERSIONS = """v as (select o_orderkey, o_custkey, o_orderdate, case when o_orderkey % 11 = 0 then null when o_orderkey % 13 = 0 then -o_orderkey when o_orderkey % 7 = 0 and lag(o_orderkey) over w is not null then lag(o_orderkey) over w else lead(o_orderkey) over w end as nxt,
+  o_orderkey % 3 = 0 as active from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)),
+walk as (select o_orderkey as k, o_orderkey as spot, 0 as hops, [o_orderkey] as seen, false as looped, false as missing from v
+  union all select k, v.nxt, hops + 1, list_append(seen, v.nxt), list_contains(seen, v.nxt), not exists (select 1 from v x where x.o_orderkey = v.nxt) from walk join v on v.o_orderkey = walk.spot where v.nxt is not null and not looped and not missing),
+ends as (select k, arg_max(spot, hops) as final, max(hops) as hops, bool_or(looped) as looped, bool_or(missing) as missing from walk group by k)"""
+
+
+@query(f"""with recursive {_VERSIONS} select k as o_orderkey, case when not looped then final end as last, case when not looped then hops end::bigint as hops, case when looped then 'cycle' when missing then 'missing' else 'end' end as state from ends""")
+def superseded_chain_ends(spark: SparkSession, d: str) -> DataFrame:
+    """Where each order's chain of superseding orders ends: by doubling, with cycles and missing ends named."""
+    return chains.chain_ends(_versions(spark, d), "o_orderkey", "superseded_by")
+
+
+@query(f"""with recursive {_VERSIONS}, cur as (select o_custkey, max((o_orderdate, o_orderkey)) as now from v where active group by 1),
+p as (select c.o_custkey, max(case when e.final = c.now[2] and not e.looped and not e.missing and e.hops > 0 then (v.o_orderdate, v.o_orderkey) end) as chain, max(case when v.o_orderdate < c.now[1] then (v.o_orderdate, v.o_orderkey) end) as older
+  from cur c left join v on v.o_custkey = c.o_custkey and v.o_orderkey <> c.now[2] left join ends e on e.k = v.o_orderkey group by 1)
+select o_custkey, now[2] as current, coalesce(chain[2], older[2]) as previous, case when chain is not null then 'superseded' when older is not null then 'created' else 'none' end as basis from cur join p using (o_custkey)""")
+def previous_versions(spark: SparkSession, d: str) -> DataFrame:
+    """The version before each customer's active order: along the chain it superseded, else by date."""
+    v = _versions(spark, d)
+    return chains.previous_version(v, "o_custkey", "o_orderkey", "o_orderdate", "superseded_by", v["active"])
+
+
+@query("""with o as (select *, case when o_orderstatus = 'O' then 'pending' else 'done' end as status from orders), n as (select o_custkey, o_orderpriority, max((o_orderdate, o_orderkey)) as m from o where status = 'pending' group by all)
+select o_orderkey, case when status = 'pending' and m[2] <> o_orderkey then 'superseded' else status end as status, case when status = 'pending' and m[2] <> o_orderkey then m[2] end as superseded_by from o left join n using (o_custkey, o_orderpriority)""")
+def superseded_triggers(spark: SparkSession, d: str) -> DataFrame:
+    """Of a customer's pending orders of one priority only the newest stays pending."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate", F.when(F.col("o_orderstatus") == "O", "pending").otherwise("done").alias("status"))
+    return chains.supersede(o, ["o_custkey", "o_orderpriority"], "o_orderkey", "o_orderdate", "status").select("o_orderkey", "status", "superseded_by")
+
+
+_DIMENSIONS = """e as (select doc_id, 'source' as dimension, source as value from documents union all select doc_id, 'lang', lang from documents
+  union all select distinct doc_id, 'people', unnest(regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]{7,}')) from documents union all select doc_id, 'issues', i from documents, (values ('ering'), ('keit'), ('ement')) as t(i) where contains(text, i)),
+k as (select * from e where value is not null and value <> '')"""
+
+
+def _counted(spark: SparkSession, d: str) -> DataFrame:
+    issues = F.filter(F.array(*[F.lit(w) for w in ("ering", "keit", "ement")]), lambda w: F.coalesce(F.contains(F.col("text"), w), F.lit(False)))
+    people = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Z][a-z]{7,}"), F.lit(0))
+    return distributions.distributions(table(spark, d, "documents"), "doc_id", {"source": F.col("source"), "lang": F.col("lang"), "people": people, "issues": issues})
+
+
+@query(f"with {_DIMENSIONS} select dimension, value, count(*)::bigint as n, count(distinct doc_id)::bigint as n_distinct, min(doc_id) as first_seq from k group by grouping sets ((dimension, value), (dimension))")
+def corpus_distributions(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by source, language, capitalised names and issues, with totals: one scan, grouping sets."""
+    return _counted(spark, d)
+
+
+@query(f"""with {_DIMENSIONS}, c as (select dimension, value, count(*)::bigint as n, min(doc_id) as first_seq from k group by 1, 2)
+select dimension, value, n, row_number() over (partition by dimension order by n desc, first_seq, value) as rank from c qualify rank <= 5""")
+def corpus_top_values(spark: SparkSession, d: str) -> DataFrame:
+    """The five most frequent values of each of these, ties by first appearance."""
+    return distributions.top_values(_counted(spark, d))
+
+
+@query("""select count(*)::bigint as n_rows, (count(*) filter (where l_returnflag = 'R'))::bigint as returned, (count(*) filter (where l_linestatus = 'O'))::bigint as open, (count(*) filter (where l_discount > 0.05))::bigint as discounted,
+ (count(*) filter (where l_quantity >= 25))::bigint as large, (count(*) filter (where l_returnflag = 'R' and l_discount > 0.05))::bigint as returned_discounted from lineitem""")
+def evidence_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Counters over every order line in one aggregation."""
+    r, disc = F.col("l_returnflag") == "R", F.col("l_discount") > 0.05
+    return distributions.flag_counts(table(spark, d, "lineitem"), {"returned": r, "open": F.col("l_linestatus") == "O", "discounted": disc, "large": F.col("l_quantity") >= 25, "returned_discounted": r & disc})
