@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from newsloom.operators import chains, distributions, documents, grounding, resolution
-from newsloom.storage import table
+from newsloom.storage import scratch, table
+from newsloom.streaming import sinks
 
 QUERIES, ORACLE = {}, {}
 
@@ -215,3 +216,28 @@ def evidence_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Counters over every order line in one aggregation."""
     r, disc = F.col("l_returnflag") == "R", F.col("l_discount") > 0.05
     return distributions.flag_counts(table(spark, d, "lineitem"), {"returned": r, "open": F.col("l_linestatus") == "O", "discounted": disc, "large": F.col("l_quantity") >= 25, "returned_discounted": r & disc})
+
+
+@query("""with e as (select *, row_number() over (partition by user_id, event_type, props order by event_id) as n from events), c as (select (select max(event_id) from events) as top)
+select event_id, user_id, event_type, props, case when event_id <= top // 2 then 1 else 2 end::bigint as batch_id from e, c where n = 1""")
+def ledger_scan(spark: SparkSession, d: str) -> DataFrame:
+    """First events of each user, type and properties, taken in two runs by cursor, the second one repeated; a committed batch changes nothing when it comes again."""
+    events, path = table(spark, d, "events").select("event_id", "user_id", "event_type", "props"), scratch(spark)
+    top = events.agg(F.max("event_id").alias("top")).first()["top"] or 0
+    keys = ["user_id", "event_type", "props"]
+    sinks.append_new(sinks.rows_after(events, "event_id", None, top // 2 + 1), path, 1, keys, "event_id")
+    rest = sinks.rows_after(events, "event_id", sinks.cursor(spark, path))
+    for _ in range(2):
+        sinks.append_new(rest, path, 2, keys, "event_id")
+    return sinks.committed(spark, path, "event_id bigint, user_id bigint, event_type string, props string")
+
+
+@query("""with t as (select o_orderkey, o_custkey, o_orderpriority, sha256(o_orderstatus || '|' || (o_totalprice > 200000)::int) as state_hash from orders), d as (select distinct o_custkey, o_orderpriority, state_hash from t where o_orderkey % 5 = 0),
+n as (select *, row_number() over (partition by o_custkey, o_orderpriority, state_hash order by o_orderkey) as k from t where o_orderkey % 5 <> 0)
+select o_orderkey, state_hash from n where k = 1 and not exists (select 1 from d where d.o_custkey = n.o_custkey and d.o_orderpriority = n.o_orderpriority and d.state_hash = n.state_hash)""")
+def unique_triggers(spark: SparkSession, d: str) -> DataFrame:
+    """Orders whose customer, priority and state haven't set anything off before."""
+    o = table(spark, d, "orders")
+    state = F.concat_ws("|", "o_orderstatus", (F.col("o_totalprice") > 200000).cast("int").cast("string"))
+    done = o.where("o_orderkey % 5 = 0").select("o_custkey", "o_orderpriority", F.sha2(state, 256).alias("state_hash"))
+    return sinks.unique_triggers(o.where("o_orderkey % 5 <> 0"), done, ["o_custkey", "o_orderpriority"], state, "o_orderkey").select("o_orderkey", "state_hash")

@@ -39,11 +39,23 @@ def _checkpoint_folder(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and not context.master.startswith("local"):
+        one_machine = context.master.startswith("local") and "cluster" not in context.master
+        if not shared and not one_machine:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="newsloom-"))
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder's name within the checkpoint folder."""
+    _checkpoint_folder(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage with a reliable checkpoint in the cluster's shared folder.
 
@@ -73,8 +85,7 @@ def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     """Cuts lineage with a Parquet table in the checkpoint folder, for rows that compress well; and what removes it."""
     spark = df.sparkSession
     context = spark.sparkContext
-    _checkpoint_folder(spark)
-    path = f"{context._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
 
     def drop() -> None:
