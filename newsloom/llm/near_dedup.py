@@ -12,7 +12,8 @@
 4. Components of the links are labelled. Buckets that still hold several
    components are compared across components, signatures in blocks of bounded
    size, so a link that doesn't pass through a hub isn't lost; survivors are
-   confirmed likewise and the components are labelled once more.
+   confirmed within their blocks, one link to each component, and the
+   components are labelled once more.
 
 Nothing about all documents reaches the driver. Signatures are checkpointed
 once, so a lost executor costs a stage.
@@ -150,34 +151,59 @@ def _bayes(least: dict[int, int]):
     return run
 
 
-def _blocks(least: dict[int, int], most: int):
-    """Compares one block of minor members with one block of all members of a bucket, across labels.
+def _across(table: pa.Table, least: dict[int, int]) -> Iterator[tuple[int, np.ndarray]]:
+    """Each minor member of a block and the members of other labels with which it stands the test; a pair counts in the first of its common bands only."""
+    label, minor = table["label"].to_numpy(), table["side"].to_numpy() == 0
+    sig = _matrix(table["sig"].combine_chunks())
+    right, bucket = np.flatnonzero(~minor), table["pos"][0].as_py() if table.num_rows else 0
+    for i in np.flatnonzero(minor):
+        other = right[label[right] != label[i]]
+        stays = other[survives(np.broadcast_to(sig[i], (len(other), sig.shape[1])), sig[other], least)]
+        stays = stays[(sig[stays] == sig[i]).reshape(-1, BANDS, ROWS).all(2).argmax(1) == bucket]
+        if len(stays):
+            yield i, stays[np.argsort(-(sig[stays] == sig[i]).sum(1), kind="stable")]
+
+
+def _blocks(least: dict[int, int]):
+    """The members of one block of minor members and one block of all members of a bucket that some pair across labels needs."""
+
+    def run(table: pa.Table) -> pa.Table:
+        needed = np.zeros(table.num_rows, bool)
+        for i, stays in _across(table, least):
+            needed[i] = needed[stays] = True
+        return table.drop_columns(["sig"]).filter(pa.array(needed))
+
+    return run
 
-    Of each minor member's surviving pairs the ``most`` best are given; ``more``
-    says that others were left for a later round.
-    """
+
+def _linked(least: dict[int, int], k: int, percent: int):
+    """Confirms a block's pairs on full shingle sets, the likeliest first; one link of a member to a component will do."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids = table["rep"].to_numpy()
-        label, minor = table["label"].to_numpy(), table["side"].to_numpy() == 0
-        sig = _matrix(table["sig"].combine_chunks())
-        a, b, more = [], [], []
-        right, bucket = np.flatnonzero(~minor), table["pos"][0].as_py() if len(ids) else 0
-        for i in np.flatnonzero(minor):
-            other = right[label[right] != label[i]]
-            stays = other[survives(np.broadcast_to(sig[i], (len(other), sig.shape[1])), sig[other], least)]
-            # a pair counts in the first of its common bands only
-            stays = stays[(sig[stays] == sig[i]).reshape(-1, BANDS, ROWS).all(2).argmax(1) == bucket]
-            if len(stays) > most:
-                agree = (sig[stays] == sig[i]).sum(1)
-                stays = stays[np.lexsort((ids[stays], -agree))[:most]]
-                more.append(np.arange(most) == 0)
-            else:
-                more.append(np.zeros(len(stays), bool))
-            a.append(np.minimum(ids[i], ids[stays]))
-            b.append(np.maximum(ids[i], ids[stays]))
-        none = np.empty(0, np.int64)
-        return pa.table({"a": pa.array(np.concatenate([none, *a])), "b": pa.array(np.concatenate([none, *b])), "more": pa.array(np.concatenate([np.empty(0, bool), *more]))})
+        ids, label, texts = table["rep"].to_numpy(), table["label"].to_numpy(), table["text"].combine_chunks()
+        sets: dict[int, np.ndarray] = {}
+
+        def of(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = _set(texts[i].as_py(), k)
+            return sets[i]
+
+        a, b = [], []
+        for i, stays in _across(table, least):
+            joined, own = set(), of(int(i))
+            for j in stays.tolist():
+                if label[j] in joined:
+                    continue
+                other = of(j)
+                union = len(own) + len(other)
+                if min(len(own), len(other)) * 100 < percent * max(len(own), len(other)):
+                    continue
+                common = len(np.intersect1d(own, other, assume_unique=True))
+                if common and 100 * common >= percent * (union - common):
+                    joined.add(label[j])
+                    a.append(min(ids[i], ids[j]))
+                    b.append(max(ids[i], ids[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -221,8 +247,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     )
 
 
-def _crossing(shared: DataFrame, label: DataFrame, sigs: DataFrame, least: dict[int, int], most: int) -> DataFrame:
-    """Surviving pairs across components, from buckets that hold several: members away from the hub's component against all."""
+def _crossing(shared: DataFrame, label: DataFrame, sigs: DataFrame, texts: DataFrame, least: dict[int, int], setting: Setting) -> DataFrame:
+    """Confirmed links across components, from buckets that hold several: members away from the hub's component against all.
+
+    Signatures are compared in blocks; only members that survive with someone
+    are sent once more, with their texts, and confirmed block by block.
+    """
     known = label.select(F.col("node").alias("__n"), "component")
     named = shared.join(known, F.col("rep") == F.col("__n"), "left").withColumn("label", F.coalesce("component", "rep")).drop("__n", "component")
     major = named.where("rep = hub").select(F.col("band").alias("at"), F.col("label").alias("major")).distinct()
@@ -235,12 +265,12 @@ def _crossing(shared: DataFrame, label: DataFrame, sigs: DataFrame, least: dict[
         "band", "pos", (place % n_minor).alias("i"), F.explode(F.sequence(F.lit(0), n_all - 1)).alias("j"), "rep", "label", F.lit(0).alias("side"))
     right = rest.select(
         "band", "pos", F.explode(F.sequence(F.lit(0), n_minor - 1)).alias("i"), (place % n_all).alias("j"), "rep", "label", F.lit(1).alias("side"))
-    return (
-        left.unionByName(right)
-        .join(sigs.select(F.col("doc_id").alias("rep"), "sig"), "rep")
-        .groupBy("band", "i", "j")
-        .applyInArrow(_blocks(least, most), "a bigint, b bigint, more boolean")
-    )
+    signed_ = sigs.select(F.col("doc_id").alias("rep"), "sig")
+    schema = "rep bigint, band bigint, pos int, i int, j int, label bigint, side int"
+    needed = cut(left.unionByName(right).join(signed_, "rep").select("rep", "band", "pos", "i", "j", "label", "side", "sig").groupBy("band", "i", "j").applyInArrow(_blocks(least), schema))
+    bodies = only(texts, needed.select("rep"), "doc_id").select(F.col("doc_id").alias("rep"), "text")
+    whole = needed.join(signed_, "rep").join(bodies, "rep").select("rep", "band", "pos", "i", "j", "label", "side", "sig", "text")
+    return whole.groupBy("band", "i", "j").applyInArrow(_linked(least, *setting), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, setting: Setting = Setting(5, 80)) -> DataFrame:
@@ -277,17 +307,9 @@ def near_duplicates(docs: DataFrame, setting: Setting = Setting(5, 80)) -> DataF
     )
     links = cut(_verified(tested, texts, k, percent))
     label = connected_components(links)
-    done, most = star, 2
-    while True:
-        crossing = cut(_crossing(shared, label, sigs, least, most))
-        fresh = crossing.select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
-        more = cut(_verified(fresh, texts, k, percent))
-        if more.limit(1).count():
-            links = links.unionByName(more)
-            label = connected_components(links)
-        if not crossing.where("more").limit(1).count():
-            break
-        done, most = done.unionByName(fresh), 16 * most
+    more = cut(_crossing(shared, label, sigs, texts, least, setting))
+    if more.limit(1).count():
+        label = connected_components(links.unionByName(more))
     label = label.select(F.col("node").alias("__n"), "component")
     classes = reps.join(label, F.col("rep") == F.col("__n"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     return (
