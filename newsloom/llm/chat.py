@@ -60,11 +60,25 @@ def text_parts(text: Column) -> Column:
 
 
 def visit(part: Column, index: Column) -> Column:
-    """One part as text: texts are escaped, attachments become numbered placeholders, other kinds say so."""
+    """An attachment as its numbered placeholder; other kinds say so; null for texts."""
     kind = F.coalesce(part["type"], F.lit("text"))
-    return F.when(kind == "text", escape(F.coalesce(part["text"], F.lit("")))).when(
-        kind.isin(*EXPANSION), F.concat(F.lit("<|"), kind, F.lit(":"), index.cast("string"), F.lit("|>"))
-    ).otherwise(F.concat(F.lit("<|unknown:"), index.cast("string"), F.lit("|>")))
+    name = F.when(kind.isin(*EXPANSION), kind).when(kind != "text", "unknown")
+    return F.concat(F.lit("<|"), name, F.lit(":"), index.cast("string"), F.lit("|>"))
+
+
+def flatten(parts: Column) -> Column:
+    """All parts as one text. Neighbouring texts are joined before they are escaped, as a control string may be split over them."""
+    marked = F.transform(parts, lambda x, i: F.struct(visit(x, i).alias("mark"), F.coalesce(x["text"], F.lit("")).alias("text")))
+    empty = F.struct(F.lit("").alias("done"), F.lit("").alias("open"))
+
+    def step(state: Column, x: Column) -> Column:
+        is_text = x["mark"].isNull()
+        return F.struct(
+            F.when(is_text, state["done"]).otherwise(F.concat(state["done"], escape(state["open"]), x["mark"])).alias("done"),
+            F.when(is_text, F.concat(state["open"], x["text"])).otherwise("").alias("open"),
+        )
+
+    return F.aggregate(marked, empty, step, lambda state: F.concat(state["done"], escape(state["open"])))
 
 
 def expanded(part: Column) -> Column:
@@ -92,7 +106,7 @@ def format_turns(turns: DataFrame, parts: str = "parts", trained: tuple[str, ...
     content = F.coalesce(F.col(parts), F.array().cast(PART_TYPE))
     one = turns.select(
         "conv_id", "turn", role.alias("role"), content.alias("p"),
-        F.array_join(F.transform(content, visit), "").alias("body"),
+        flatten(content).alias("body"),
         F.concat(F.lit(START), escape(one_line(role)), F.lit("\n")).alias("head"),
     )
     start = F.length("head")
