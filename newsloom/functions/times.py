@@ -49,7 +49,38 @@ def run_period_start(run_day: Column) -> Column:
     return F.when(F.dayofmonth(run_day) == 9, F.date_add(F.add_months(first, -1), 15)).when(F.dayofmonth(run_day) == 22, first)
 
 
-def parse_any(text: Column) -> Column:
-    """The first of several formats that fits, else null."""
-    formats = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd")
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+#: Dates in text, in the order in which they are tried: pattern, and which of its groups is year, month and day.
+DATES = (
+    (r"(20\d{2})年(\d{1,2})月(\d{1,2})日", (1, 2, 3)), (r"(\d{1,2})月(\d{1,2})日", (0, 1, 2)), (r"(20\d{2})-(\d{1,2})-(\d{1,2})", (1, 2, 3)),
+    (r"(\d{1,2})/(\d{1,2})", (0, 1, 2)), (r"(?<!\d)(\d{1,2})日", (0, 0, 1)),
+)
+#: Words for days, by distance from the day of publication.
+RELATIVE = (("昨日", -1), ("昨天", -1), ("今日", 0), ("今天", 0), ("明日", 1), ("明天", 1))
+
+
+def event_date(title: Column, summary: Column, published: Column) -> Column:
+    """``date`` (a timestamp), ``basis`` and ``confidence`` of what an article reports.
+
+    The first date of each pattern that is one, in the title, then the summary
+    (``explicit_in_title``, ``explicit_in_summary``, high); what a pattern leaves out
+    is taken from the publication. Then words such as yesterday (medium, the time
+    of day kept), then the publication itself (``inferred_from_publication``, low).
+    Without any it is null and ``unknown``. Dates that don't exist are passed over.
+    """
+    fields = (("explicit_in_title", F.coalesce(title, F.lit(""))), ("explicit_in_summary", F.coalesce(summary, F.lit(""))))
+    moment = published.cast("timestamp")
+    own = {0: F.year(moment), 1: F.month(moment)}
+    found = []
+    for basis, text in fields:
+        for pattern, groups in DATES:
+            parts = [F.regexp_extract(text, pattern, g).cast("string") if g else own[i].cast("string") for i, g in enumerate(groups)]
+            there = F.regexp_extract(text, pattern, groups[2]) != ""
+            date = F.concat_ws("-", *[F.lpad(p, n, "0") for p, n in zip(parts, (4, 2, 2), strict=True)]).try_cast("date").cast("timestamp")
+            whole = there & parts[0].isNotNull() & parts[1].isNotNull()
+            found.append(F.when(whole & date.isNotNull(), F.struct(date.alias("date"), F.lit(basis).alias("basis"), F.lit("high").alias("confidence"))))
+    for basis, text in fields:
+        for word, days in RELATIVE:
+            moved = moment + F.make_dt_interval(days=F.lit(days))
+            found.append(F.when(F.contains(text, F.lit(word)) & moment.isNotNull(), F.struct(moved.alias("date"), F.lit(basis).alias("basis"), F.lit("medium").alias("confidence"))))
+    found.append(F.when(moment.isNotNull(), F.struct(moment.alias("date"), F.lit("inferred_from_publication").alias("basis"), F.lit("low").alias("confidence"))))
+    return F.coalesce(*found, F.struct(F.lit(None).cast("timestamp").alias("date"), F.lit("unknown").alias("basis"), F.lit("unknown").alias("confidence")))

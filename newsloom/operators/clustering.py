@@ -231,3 +231,35 @@ def events_of(articles: DataFrame, clusters: DataFrame, version: str) -> DataFra
         "\x1f", F.lit(version), F.coalesce(day.cast("string"), F.lit("time-unknown")), F.concat(F.lit("canonical="), F.when(F.col("n") == 1, url).otherwise("")),
         F.concat(F.lit("entities="), F.coalesce("__entities", F.lit(""))), F.concat(F.lit("groups="), F.coalesce("__groups", F.lit(""))), F.concat(F.lit("tokens="), named))
     return full.select("cluster", F.concat(F.lit("evt_"), F.sha2(text, 256)).alias("event_id"), F.col("best.id").alias("canonical"), "n", "first_ts", "last_ts")
+
+
+def relationship(actor_a: Column, actor_b: Column, ts_a: Column, ts_b: Column, action_a: Column, action_b: Column, answers: Column, days: int = 7) -> Column:
+    """How two clusters, by their anchors, belong together: ``relation`` and its ``reason``.
+
+    ``answers``: one of them holds an allegation and the other a statement. A
+    missing time is near to none; a missing actor is nobody's.
+    """
+    close = F.coalesce(F.abs(F.floor((F.unix_micros(ts_a.cast("timestamp")) - F.unix_micros(ts_b.cast("timestamp"))) / DAY)) <= days, F.lit(False))
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    same = (blank(actor_a) != "") & (blank(actor_a) == blank(actor_b))
+    other = (blank(action_a) != "") & (blank(action_b) != "") & (blank(action_a) != blank(action_b))
+    pair = lambda relation, reason: F.struct(F.lit(relation).alias("relation"), F.lit(reason).alias("reason"))
+    return (
+        F.when(same & close & other, pair("possible_subevent", "same_actor_close_date_different_action")).when(same & close, pair("related_event", "same_actor_close_date"))
+        .when(close & F.coalesce(answers, F.lit(False)), pair("related_event", "allegation_response_close_date")).when(~close, pair("separate_event", "date_window_exceeded"))
+        .otherwise(pair("separate_event", "different_primary_actor"))
+    )
+
+
+def candidate_ids(articles: DataFrame, clusters: DataFrame, marker: str = "news", prefix: str = "cand", length: int = 10) -> DataFrame:
+    """``cluster, anchor, candidate_id``: ids that depend on a cluster's anchor only: the marker, its id, its URL and its day.
+
+    The anchor is the earliest member, those without a time last, ties by the id
+    as text. ``articles``: ``id, url, ts``; ``clusters``: ``id, cluster``.
+    """
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    day = F.coalesce(F.date_from_unix_date(F.floor(t / DAY).cast("int")).cast("string"), F.lit(""))
+    rows = articles.select("id", F.coalesce("url", F.lit("")).alias("url"), day.alias("day"), _order(t, F.col("id")).alias("ord")).join(clusters.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id"))
+    anchors = rows.groupBy("cluster").agg(F.min_by(F.struct("id", "url", "day"), "ord").alias("a"))
+    key = F.concat_ws("|", F.lit(marker), F.col("a.id").cast("string"), "a.url", "a.day")
+    return anchors.select("cluster", F.col("a.id").alias("anchor"), F.concat(F.lit(f"{prefix}_"), F.substring(F.sha2(key, 256), 1, length)).alias("candidate_id"))

@@ -79,16 +79,26 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def similar_within(df: DataFrame, key: str, ts: str, tokens: str, hours: int, percent: int, least_common: int) -> DataFrame:
     """Edges (a < b) of rows at most ``hours`` apart with similar token sets and enough common tokens; a missing time never matches.
 
-    An equi-join on token and time bucket: each row meets its own bucket and the
-    two beside it, so candidates grow with the rows of a token in a bucket.
+    Sets that match share ``least_common`` tokens and ``percent`` of the larger one, so
+    they share one of their rarest tokens: only these are joined, with the time
+    bucket (its own and the two beside it), and whole sets verify the pairs. A
+    frequent token is a key only where a row has hardly any other.
     """
     width = hours * 3_600_000_000
     rows = df.where(F.col(ts).isNotNull()).select(F.col(key).alias("k"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.array_distinct(tokens).alias("s"))
-    each = rows.select("k", "t", F.size("s").alias("n"), F.explode("s").alias("token"), F.floor(F.col("t") / width).alias("bucket"))
-    left = each.toDF("a", "ta", "na", "token", "bucket")
-    right = each.select("k", "t", "n", "token", F.explode(F.array(*[F.col("bucket") + i for i in (-1, 0, 1)])).alias("bucket")).toDF("b", "tb", "nb", "token", "bucket")
-    common = left.join(right, ["token", "bucket"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("ta") - F.col("tb")) <= width)).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common"))
-    return common.where((F.col("common") >= least_common) & (100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common")))).select("a", "b")
+    each = rows.select("k", F.explode("s").alias("token"))
+    ranked = each.join(each.groupBy("token").agg(F.count("*").alias("df")), "token").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("r"))
+    n = F.size("r")
+    rarest = (n - F.greatest(F.ceil(n * percent / 100), F.lit(least_common)) + 1).cast("int")
+    prefix = ranked.where(n >= least_common).select(F.col("k").alias("__k"), F.explode(F.slice("r", 1, rarest)["token"]).alias("token"))
+    keyed = rows.join(prefix, F.col("k") == F.col("__k")).select("k", "t", F.size("s").alias("n"), "token", F.floor(F.col("t") / width).alias("bucket"))
+    left = keyed.toDF("a", "ta", "na", "token", "bucket")
+    right = keyed.select("k", "t", "n", "token", F.explode(F.array(*[F.col("bucket") + i for i in (-1, 0, 1)])).alias("bucket")).toDF("b", "tb", "nb", "token", "bucket")
+    near = (F.col("a") < F.col("b")) & (F.abs(F.col("ta") - F.col("tb")) <= width) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    pairs = left.join(right, ["token", "bucket"]).where(near).select("a", "b").distinct()
+    both = pairs.join(rows.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(rows.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.where((common >= least_common) & (100 * common >= percent * (F.size("sa") + F.size("sb") - common))).select("a", "b")
 
 
 def component_clusters(df: DataFrame, key: str, edges: DataFrame) -> DataFrame:
