@@ -132,3 +132,29 @@ def message_parts(text: Column, most: int = 4000, numbered: str = "{i}/{n}") ->
     named = F.flatten(F.transform(F.array(parts), lambda all_: F.transform(all_, lambda p, i: F.concat(
         head, F.lit("\n" + before), (i + 1).cast("string"), F.lit(between), F.size(all_).cast("string"), F.lit(end + "\n\n"), p))))
     return F.when(F.length(text) <= most, F.array(text)).otherwise(named)
+
+
+def chinese_characters(text: Column) -> Column:
+    """How many Chinese characters a text has; null as none."""
+    return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), "[^\\x{4e00}-\\x{9fff}]", ""))
+
+
+def phrase_tokens(text: Column) -> Column:
+    """Lower-case words of letters and digits, one hyphen or apostrophe within allowed."""
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Za-z0-9]+(?:[-'][A-Za-z0-9]+)?"), F.lit(0)), F.lower)
+
+
+def without_information(text: Column, phrases: tuple[str, ...], rest: int = 4) -> Column:
+    """Whether a text says nothing once stock phrases are taken out: fewer than ``rest`` letters, digits or Chinese characters are left."""
+    bare = F.coalesce(text, F.lit(""))
+    for p in sorted(phrases, key=len, reverse=True):
+        bare = F.replace(bare, F.lit(p), F.lit(""))
+    return F.length(F.regexp_replace(bare, "[^0-9A-Za-z\\x{4e00}-\\x{9fff}]", "")) < rest
+
+
+def with_terms(text: Column, terms: dict[str, str]) -> Column:
+    """English terms replaced where no ASCII letter or digit touches them, longer ones first, letter case aside."""
+    out = text
+    for term in sorted(terms, key=len, reverse=True):
+        out = F.regexp_replace(out, f"(?i)(?<![A-Za-z0-9]){term}(?![A-Za-z0-9])", terms[term])
+    return out

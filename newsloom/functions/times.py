@@ -84,3 +84,15 @@ def event_date(title: Column, summary: Column, published: Column) -> Column:
             found.append(F.when(F.contains(text, F.lit(word)) & moment.isNotNull(), F.struct(moved.alias("date"), F.lit(basis).alias("basis"), F.lit("medium").alias("confidence"))))
     found.append(F.when(moment.isNotNull(), F.struct(moment.alias("date"), F.lit("inferred_from_publication").alias("basis"), F.lit("low").alias("confidence"))))
     return F.coalesce(*found, F.struct(F.lit(None).cast("timestamp").alias("date"), F.lit("unknown").alias("basis"), F.lit("unknown").alias("confidence")))
+
+
+def to_zone(text: Column, zone: str, assumed: str | None = None) -> Column:
+    """A time as text, with an offset or not, as local time of a zone (a timestamp without zone).
+
+    A time without an offset is taken as of ``assumed``, or is null without one; what isn't a time is null.
+    """
+    there = text.rlike("(Z|[+-][0-9]{2}:?[0-9]{2})$") & text.rlike(":")
+    plain = F.regexp_replace(text, "T", " ")
+    aware = F.convert_timezone(F.lit("UTC"), F.lit(zone), F.to_utc_timestamp(F.try_to_timestamp(plain), F.current_timezone()).cast("timestamp_ntz"))
+    naive = F.convert_timezone(F.lit(assumed), F.lit(zone), plain.try_cast("timestamp_ntz")) if assumed else F.lit(None).cast("timestamp_ntz")
+    return F.when(there, aware).otherwise(naive)
