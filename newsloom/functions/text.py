@@ -60,10 +60,6 @@ def bigrams(text: Column) -> Column:
     return F.when(n < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(bare, i, F.lit(2)))))
 
 
-def fingerprint(title: Column) -> Column:
-    return F.lower(F.regexp_replace(title, "[^\\p{L}\\p{N}]", ""))
-
-
 def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, "[ \\t\\n\\r\\f]+", " "))
 

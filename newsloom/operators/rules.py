@@ -42,11 +42,6 @@ def validate_rules(rules: list[ImportanceRule]) -> list[str]:
     return out
 
 
-def _level(score: Column, cap: str) -> Column:
-    raw = F.when(score >= CRITICAL, 0).when(score >= IMPORTANT, 1).otherwise(2)
-    return F.greatest(raw, F.lit(LEVELS.index(cap)))
-
-
 def importance(df: DataFrame, body: Column, rules: list[ImportanceRule], official: Column, tier_one: Column, highest: bool = False) -> DataFrame:
     """Adds ``rules_hit, score, level, best_rule``.
 

@@ -171,18 +171,6 @@ def newsletter(bodies: DataFrame, cap: int = CAP) -> DataFrame:
     return _numbered(rows.withColumn("published", mail_time(F.col("when"))).withColumn("summary", F.lit("")), cap)
 
 
-def seeds(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines with a declared schema; blank lines are skipped, lines that don't parse give nulls."""
-    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
-
-
-def newest_version(names: DataFrame, column: str) -> DataFrame:
-    """Of names like ``coverage_2026-08-01_v003`` the one with the greatest date and version."""
-    pattern = r"_(\d{4}-\d{2}-\d{2})_v(\d+)$"
-    parsed = names.select(F.col(column).alias("name"), F.regexp_extract(column, pattern, 1).alias("day"), F.regexp_extract(column, pattern, 2).alias("version")).where("day <> ''")
-    return parsed.agg(F.max_by("name", F.struct("day", F.col("version").cast("int"))).alias("name"))
-
-
 class PagedSource(DataSource):
     """A Python data source for sources that come in numbered pages: one partition a page, retried by Spark.
 
