@@ -24,6 +24,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -83,11 +84,15 @@ class _Model:
         return linear.fit(x, target, np.concatenate([np.ones(self.keep.sum()), np.full(len(own), 0.5)]))
 
 
-_CANDIDATE = "model int, view int, label int, doc_id bigint, hash bigint, sure double, text array<double>, meta array<double>"
+_CANDIDATE = "model int, view int, label int, task int, doc_id bigint, hash bigint, sure double, text array<double>, meta array<double>"
 
 
 def _surest(base: DataFrame, models: list[_Model], known: np.ndarray, shared: int) -> list:
-    """For each model, view and label the ``shared`` surest documents that aren't known; each task sends its own best ones only."""
+    """For each model, view and label the ``shared`` surest documents that aren't known.
+
+    Each scan task sends its own best ones only; these are ranked among 256 tasks,
+    then among 65,536, then all, so that no window follows the number of tasks.
+    """
     words, weights = [m.words for m in models], [(m.train(0), m.train(1)) for m in models]
     # of what has been labelled already, a task could send as many again
     most = shared + max(len(g) for m in models for g in m.given)
@@ -108,18 +113,21 @@ def _surest(base: DataFrame, models: list[_Model], known: np.ndarray, shared: in
                             sure = np.flatnonzero((score > least) & free[at : at + n])
                             top = best.setdefault((m, v, label), [])
                             for i in sure[np.lexsort((marks[at + sure], ids[at + sure], -score[sure]))[:most]].tolist():
-                                top.append((-float(score[i]), int(ids[at + i]), int(marks[at + i]), text[i].tolist(), meta[at + i].tolist()))
+                                top.append((-float(score[i]), int(ids[at + i]), int(marks[at + i]), tuple(text[i].tolist()), tuple(meta[at + i].tolist())))
                             if len(top) > 2 * most:
-                                best[m, v, label] = sorted(top)[:most]
-        rows = [(m, v, label, i, mark, -score, text, meta) for (m, v, label), top in best.items() for score, i, mark, text, meta in sorted(top)[:most]]
+                                best[m, v, label] = sorted(set(top))[:most]  # repeated rows take one place
+        task = TaskContext.get().partitionId()
+        rows = [(m, v, label, task, i, mark, -score, text, meta) for (m, v, label), top in best.items() for score, i, mark, text, meta in sorted(set(top))[:most]]
         for at in range(0, len(rows), 500):
             part = list(zip(*rows[at : at + 500], strict=True))
-            kinds = [pa.int32()] * 3 + [pa.int64()] * 2 + [pa.float64()] + [pa.list_(pa.float64())] * 2
+            kinds = [pa.int32()] * 4 + [pa.int64()] * 2 + [pa.float64()] + [pa.list_(pa.float64())] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(part, kinds, strict=True)], names=[x.split()[0] for x in _CANDIDATE.split(", ")])
 
     found = base.withColumn("hash", F.xxhash64("text")).mapInArrow(run, _CANDIDATE).dropDuplicates(["model", "view", "label", "doc_id", "hash"])
-    order = W.partitionBy("model", "view", "label").orderBy(F.col("sure").desc(), "doc_id", "hash")
-    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place").collect()
+    for tasks in (1 << 8, 1 << 16, 1 << 31):
+        order = W.partitionBy("model", "view", "label", F.floor(F.col("task") / tasks)).orderBy(F.col("sure").desc(), "doc_id", "hash")
+        found = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place")
+    return found.collect()
 
 
 def train_views(docs: DataFrame, labels: DataFrame, rows: int = ROWS, rounds: int = ROUNDS, shared: int = SHARED) -> Views | None:
