@@ -124,6 +124,10 @@ def score_grams(texts: list[bytes], grams: np.ndarray, values: np.ndarray) -> np
     return out
 
 
+def _gaps(keys: np.ndarray) -> np.ndarray:
+    return np.diff(keys, prepend=np.int64(0))
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     packer = zstandard.ZstdCompressor(level=9)
 
@@ -139,7 +143,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = {
             "chunk": pa.array([name], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int64())), "lengths": pa.array([[len(t) for t in texts]], pa.list_(pa.int64())),
             "body": pa.array([packer.compress(body)], pa.binary()),
-            **{n: pa.array([packer.compress(x.astype("<i8").tobytes())], pa.binary()) for n, x in (("words", signed(words)), ("n_words", n_words), ("grams", grams), ("n_grams", n_grams))},
+            # keys as gaps, which pack better
+            **{n: pa.array([packer.compress(x.astype("<i8").tobytes())], pa.binary()) for n, x in (("words", _gaps(signed(words))), ("n_words", n_words), ("grams", _gaps(grams)), ("n_grams", n_grams))},
         }
         return pa.RecordBatch.from_pydict(columns)
 
@@ -162,6 +167,7 @@ def _unpack():
         for batch in batches:
             for i in range(batch.num_rows):
                 keys, counts = (np.frombuffer(opened.decompress(batch.column(c)[i].as_py()), "<i8") for c in (1, 2))
+                keys = np.cumsum(keys)
                 for at in range(0, len(keys), 50_000):
                     part = keys[at : at + 50_000]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), batch.column(0)[i].as_py())), pa.array(part), pa.array(counts[at : at + 50_000])], names=["chunk", "key", "n"])
