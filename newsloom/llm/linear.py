@@ -71,8 +71,14 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int, carried: dict[str, str
     # of rows that repeat a doc_id one is taken, so that rows bound the sample
     one = joined.groupBy("doc_id").agg(F.min_by(F.struct("text", *carried), F.xxhash64("text")).alias("r")).select("r.text", "doc_id", *[f"r.{c}" for c in carried])
     schema = "words array<bigint>, shape array<double>, doc_id bigint" + "".join(f", {n} {t}" for n, t in carried.items())
-    found = one.mapInArrow(_sampled, schema).toArrow().to_pylist()
-    return sorted(found, key=lambda r: (r["doc_id"], r["words"]))
+    found = []
+    for batch in one.mapInArrow(_sampled, schema).toArrow().to_batches():
+        others = batch.select([n for n in batch.schema.names if n != "words"]).to_pylist()
+        # hashes stay in Arrow's memory, 8 bytes each
+        words = batch.column(batch.schema.get_field_index("words"))
+        ends, flat = words.offsets.to_numpy(), words.values.to_numpy(zero_copy_only=False)
+        found += [{"words": flat[a:b], **r} for a, b, r in zip(ends[:-1], ends[1:], others, strict=True)]
+    return sorted(found, key=lambda r: r["doc_id"])
 
 
 def choose_words(rows: list[dict], y: np.ndarray, most: int = 150, least_z: float = 5.0) -> np.ndarray:
