@@ -13,23 +13,26 @@ def chain_ends(df: DataFrame, key: str, following: str) -> DataFrame:
 
     States: ``end`` (a row that points nowhere), ``missing`` (``last`` is a key that
     no row has), ``cycle`` (``last`` null). Each round doubles the hops of all open
-    rows, so a chain of n rows takes log2(n) rounds; what is open after as many
-    rounds as n rows can need goes round in a cycle. Keys are unique and not null.
+    rows, so rounds follow the logarithm of the longest chain: with ``2 ** r`` hops
+    made, rows nearer to their end are settled and the next round settles some row
+    on every longer chain, so what a round without a settled row leaves open goes
+    round in cycles. Settled rows are written once. Keys are unique and not null.
     """
     at = F.col(following)
     rows = df.select(F.col(key).alias("k"), at.alias("at"))
     real = rows.select(F.col("k").alias("there"))
     # open: the pointer leads to a row whose own pointer isn't followed yet
-    state = cut(rows.join(real, F.col("at") == F.col("there"), "left").select(
+    first = cut(rows.join(real, F.col("at") == F.col("there"), "left").select(
         "k", "at", F.when(F.col("at").isNull(), 0).otherwise(1).cast("long").alias("hops"), F.when(F.col("at").isNull(), "end").when(F.col("there").isNull(), "missing").otherwise("open").alias("state")))
-    n = state.where("state = 'open'").count()
-    for _ in range(n.bit_length() + 1):
-        if not state.where("state = 'open'").limit(1).count():
-            break
-        steps = state.select(F.col("k").alias("sk"), F.col("at").alias("sat"), F.col("hops").alias("shops"), F.col("state").alias("sstate"))
-        moved = state.where("state = 'open'").join(steps, F.col("at") == F.col("sk")).select(
-            "k", F.coalesce("sat", "at").alias("at"), (F.col("hops") + F.col("shops")).alias("hops"), F.col("sstate").alias("state"))
-        state = cut(state.where("state <> 'open'").unionByName(moved))
+    settled, waiting = first.where("state <> 'open'"), first.where("state = 'open'")
+    n, before = waiting.count(), None
+    while n and n != before:
+        steps = settled.unionByName(waiting).select(F.col("k").alias("sk"), F.col("at").alias("sat"), F.col("hops").alias("shops"), F.col("state").alias("sstate"))
+        moved = cut(waiting.join(steps, F.col("at") == F.col("sk")).select(
+            "k", F.coalesce("sat", "at").alias("at"), (F.col("hops") + F.col("shops")).alias("hops"), F.col("sstate").alias("state")))
+        settled, waiting = settled.unionByName(moved.where("state <> 'open'")), moved.where("state = 'open'")
+        n, before = waiting.count(), n
+    state = settled.unionByName(waiting)
     last = F.when(F.col("state") == "open", None).when((F.col("state") == "end") & F.col("at").isNull(), F.col("k")).otherwise(F.col("at"))
     return state.select(F.col("k").alias(key), last.alias("last"), F.when(F.col("state") != "open", F.col("hops")).alias("hops"), F.when(F.col("state") == "open", "cycle").otherwise(F.col("state")).alias("state"))
 

@@ -140,3 +140,14 @@ def test_previous_and_superseded(spark):
     assert {tuple(x) for x in chains.previous_version(df, "g", "k", "t", "n", df["live"]).collect()} == {("a", 4, 3, "superseded"), ("b", 6, 5, "created"), ("c", 7, None, "none")}
     todo = spark.createDataFrame([("e", 1, 1, "pending"), ("e", 2, 2, "pending"), ("e", 3, 3, "done"), (None, 4, 1, "pending"), (None, 5, 1, "pending")], "e string, k long, t long, s string")
     assert {(x["k"], x["s"], x["superseded_by"]) for x in chains.supersede(todo, ["e"], "k", "t", "s").collect()} == {(1, "superseded", 2), (2, "pending", None), (3, "done", None), (4, "superseded", 5), (5, "pending", None)}
+
+
+def test_chain_rounds_follow_the_longest_chain(spark, monkeypatch):
+    rows = [(i, i + 1 if i % 10 < 9 else None) for i in range(400)] + [(1000 + i, 1000 + (i ^ 1)) for i in range(200)] + [(2000 + i, 1000 + i) for i in range(50)] + [(3000, -1)]
+    rounds, plain = [], chains.cut
+    monkeypatch.setattr(chains, "cut", lambda df: rounds.append(1) or plain(df))
+    got = {r["k"]: (r["last"], r["hops"], r["state"]) for r in chains.chain_ends(spark.createDataFrame(rows, "k long, n long"), "k", "n").collect()}
+    # cycles used to cost a round for each bit of the table's size
+    assert len(rounds) <= 1 + 5
+    ends = {i: (i // 10 * 10 + 9, 9 - i % 10, "end") for i in range(400)}
+    assert got == ends | {k: (None, None, "cycle") for k, _ in rows if 1000 <= k < 3000} | {3000: (-1, 1, "missing")}
