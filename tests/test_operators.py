@@ -163,7 +163,10 @@ def test_similar_parts_of_the_whole_table(spark):
     parts = {r["p_partkey"]: r for r in table(spark, DATA, "part").collect()}
     tokens = lambda *c: {i: set(re.findall("[a-z0-9#]+", " ".join(r[x] for x in c).lower())) for i, r in parts.items()}
     pairs = lambda s, t: {(a, b) for a in s for b in s if a < b and 100 * len(s[a] & s[b]) >= t * len(s[a] | s[b])}
-    assert {(r["a"], r["b"]) for r in core_b.token_jaccard_pairs_whole(spark, DATA).collect()} == pairs(tokens("p_name", "p_brand", "p_type"), 60)
+    t = tokens("p_name", "p_brand", "p_type")
+    alike = pairs(t, 60)
+    links = {i: (min(j for j in t if t[j] == t[i]), sum(i in p for p in alike)) for i in t}
+    assert {r["p_partkey"]: (r["class_id"], r["links"]) for r in core_b.token_jaccard_pairs_whole(spark, DATA).collect()} == links
     s = tokens("p_name", "p_type")
     near = {(a, b) for a, b in pairs(s, 70) if len(s[a] & s[b]) >= 2}
     label = {i: i for i in parts}
@@ -218,3 +221,51 @@ def test_feeds(spark):
     assert [(x["title"], x["url"]) for x in n] == [("A headline", "https://m.example/1")]
     spark.dataSource.register(feeds.PagedSource)
     assert spark.read.format("newsloom_pages").option("pages", "3").option("rows", "4").load().count() == 12
+
+
+def test_discounts_are_added_exactly(spark, tmp_path):
+    from newsloom.plans import core_c
+
+    # as doubles these give more than 0.5 in this order
+    many = (0.08, 0.1, 0.09, 0.08, 0.1, 0.05)
+    assert 0.08 + 0.1 + 0.09 + 0.08 + 0.1 + 0.05 > 0.5
+    lines = [(1, x) for x in (0.1, 0.2, 0.1, 0.1)] + [(2, x) for x in (0.03, 0.07)] + [(3, x) for x in (0.1, 0.4, 0.01)] + [(4, x) for x in (0.06, 0.01, 0.02)]
+    lines += [(5, x) for x in many]
+    spark.createDataFrame(lines, "l_orderkey long, l_discount double").selectExpr("*", "timestamp'2020-01-02' as l_shipdate").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(1, 6).selectExpr("id as o_orderkey", "'O' as o_orderstatus", "1.0 as o_totalprice", "timestamp'2020-01-01' as o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r["o_orderkey"]: r["warnings"] for r in core_c.record_validation(spark, str(tmp_path)).collect()}
+    assert got == {1: "", 2: "", 3: "discount_sum", 4: "discount_sum", 5: ""}
+
+
+def test_sizes_decide_how_many_tokens_are_keys(spark):
+    rows = [(i, [f"user{i // 50}", f"k{i}", "common", "all"]) for i in range(200)] + [(1000 + i, [f"user{i // 50}", f"k{i}", "common", "all", "more"]) for i in range(0, 200, 7)]
+    sets = {i: set(t) for i, t in rows}
+    df = spark.createDataFrame(rows, "id long, t array<string>")
+    assert {(r["a"], r["b"]) for r in match.jaccard_pairs(df, "id", F.col("t"), 70).collect()} == {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 70 * len(sets[a] | sets[b])}
+    keys = match.prefixes(df.select("id", F.col("t").alias("s")), "id", 70)
+    # sets of four match sets of four only as copies, and sets of five by all four tokens: the rarest one is the key
+    assert keys.where("n = 4 and m = 4").count() == 0 and keys.where("n = 4").count() == 200
+
+
+def test_copies_are_one_class(spark):
+    random.seed(6)
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=random.randint(0, 400)), [random.choice("abcdefg") for _ in range(random.randint(0, 6))]) for i in range(150)]
+    rows += [(200 + i, dt.datetime(2024, 1, 3 + i // 4, i % 24), ["a", "b", "c"]) for i in range(40)] + [(300, None, ["a", "b", "c"])]
+    df = spark.createDataFrame(rows, "id long, ts timestamp, t array<string>")
+    sets = {i: (t, set(w)) for i, t, w in rows}
+    near = lambda a, b: len(a & b) >= 2 and 100 * len(a & b) >= 70 * len(a | b)
+
+    def spread(edge):
+        label = {i: i for i in sets}
+        for _ in sets:
+            for a in sets:
+                for b in sets:
+                    if a < b and edge(sets[a], sets[b]):
+                        label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    within = lambda x, y: None not in (x[0], y[0]) and near(x[1], y[1]) and abs(x[0] - y[0]) <= dt.timedelta(days=1)
+    assert dict(map(tuple, match.similar_components(df, "id", F.col("t"), 70, 2, "ts", 24).collect())) == spread(within)
+    assert dict(map(tuple, match.similar_components(df, "id", F.col("t"), 70, 2).collect())) == spread(lambda x, y: near(x[1], y[1]))
+    nodes, edges = match.class_edges(df, "id", F.col("t"), 70, 2)
+    assert nodes.groupBy("s").count().where("count > 1").count() == 0 and edges.count() <= nodes.count() ** 2
