@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.storage import cut
+
 #: What cites facts, what marks a statement as somebody's.
 FACTS = ("event", "poll")
 ATTRIBUTION = ("表示", "称", "指出", "指称", "宣称", "声称", "指控", "公开指控", "重申")
@@ -67,14 +69,15 @@ def issues(claims: DataFrame, refs: DataFrame, evidence: DataFrame, links: DataF
     all). Defined results: repeated refs count once; null refs and null texts
     don't count; an unknown id has no links and no text.
     """
-    cited = refs.where("claim is not null and ref is not null").select("claim", "kind", "ref").distinct()
+    cited = cut(refs.where("claim is not null and ref is not null").select("claim", "kind", "ref").distinct())
     known = evidence.select(F.col("kind").alias("ek"), F.col("id").alias("ei")).distinct()
     unknown = cited.join(known, (F.col("kind") == F.col("ek")) & (F.col("ref") == F.col("ei")), "left_anti").select("claim", F.concat(F.lit("unknown_"), "kind").alias("issue"), F.col("ref").alias("detail"))
     items, sources = cited.where(F.col("kind").isin(*FACTS)), cited.where("kind = 'source'").select("claim", F.col("ref").alias("source"))
     citing = items.select("claim").distinct()
     bare = citing.join(sources, "claim", "left_anti").select("claim", F.lit("missing_source").alias("issue"), F.lit("").alias("detail"))
-    ties = links.select(F.col("kind").alias("lk"), F.col("id").alias("li"), "source").distinct()
-    tied = items.join(ties, (F.col("kind") == F.col("lk")) & (F.col("ref") == F.col("li"))).join(sources, ["claim", "source"]).select("claim", "kind", "ref", "source")
+    ties = links.select(F.col("kind").alias("lk"), F.col("id").alias("li"), F.col("source").alias("ls")).distinct()
+    # a claim's own pairs are few, the links of an item may be many
+    tied = cut(items.join(sources, "claim").join(ties, (F.col("kind") == F.col("lk")) & (F.col("ref") == F.col("li")) & (F.col("source") == F.col("ls")), "left_semi").select("claim", "kind", "ref", "source"))
     alone = items.join(sources.select("claim").distinct(), "claim", "left_semi").join(tied, ["claim", "kind", "ref"], "left_anti").select("claim", F.lit("item_without_source").alias("issue"), F.concat_ws(":", "kind", "ref").alias("detail"))
     loose = sources.join(citing, "claim", "left_semi").join(tied, ["claim", "source"], "left_anti").select("claim", F.lit("source_without_item").alias("issue"), F.col("source").alias("detail"))
     text = claims.select("claim", F.coalesce("text", F.lit("")).alias("text"))

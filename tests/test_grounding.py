@@ -90,3 +90,16 @@ def test_persons_and_organisations(spark):
     text = F.lit("王小明與李大同出席，王陳明、林先生；台南發展協會宣布，青年會說")
     row = spark.range(1).select(resolution.persons(text, "王李林陳", "與", ("先生",)).alias("p"), resolution.organisations(text, ("協會", "會"), ("宣布", "說"), ("同",)).alias("o"), resolution.persons(F.lit("王"), "王").alias("q")).first()
     assert row["p"] == ["王小明", "李大同"] and row["o"] == ["台南發展協會", "青年會"] and row["q"] == []
+
+
+def test_pairs_of_a_claim_meet_the_links_of_a_much_linked_item(spark, monkeypatch):
+    claims = spark.createDataFrame([("c", "")], "claim string, text string")
+    refs = spark.createDataFrame([("c", "event", "e"), ("c", "source", "s7"), ("c", "source", "none")], "claim string, kind string, ref string")
+    evidence = spark.createDataFrame([("event", "e", "", []), ("source", "s7", "", []), ("source", "none", "", [])], "kind string, id string, text string, dates array<string>")
+    links = spark.range(3000).selectExpr("'event' as kind", "'e' as id", "'s' || id as source")
+    plans, plain = [], grounding.cut
+    monkeypatch.setattr(grounding, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or plain(df))
+    found = grounding.issues(claims, refs, evidence, links)
+    assert [tuple(r) for r in found.collect()] == [("c", "source_without_item", "none")]
+    # the links are only looked up, by all three columns: an inner join would bring 3,000 of them to the claim
+    assert sum("Join LeftSemi" in p for p in plans) == 1
