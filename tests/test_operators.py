@@ -269,3 +269,20 @@ def test_copies_are_one_class(spark):
     assert dict(map(tuple, match.similar_components(df, "id", F.col("t"), 70, 2).collect())) == spread(lambda x, y: near(x[1], y[1]))
     nodes, edges = match.class_edges(df, "id", F.col("t"), 70, 2)
     assert nodes.groupBy("s").count().where("count > 1").count() == 0 and edges.count() <= nodes.count() ** 2
+
+
+def test_suggestions_pair_profiles_not_rows(spark):
+    random.seed(7)
+    rows = [(i, random.choice("xy"), random.choice("pq"), random.choice([1, 2, None])) for i in range(120)]
+    c, f = spark.createDataFrame(rows, "c_id long, c_k string, c_t string, c_n int"), spark.createDataFrame(rows, "f_id long, f_k string, f_t string, f_n int")
+    features = {"type": (F.col("c_t") == F.col("f_t")).cast("int"), "action": F.coalesce((F.col("c_n") == F.col("f_n")).cast("int"), F.lit(0))}
+    got = match.duplicate_suggestions(c, f, "k", features)
+    want = set()
+    for i, k, t, n in rows:
+        facts = sorted((-(0.15 * (t == u) + 0.2 * (n is not None and n == m)), j) for j, b, u, m in rows if b == k and j != i)[:5]
+        want |= {(i, j, r, round(-x, 4)) for r, (x, j) in enumerate(facts, 1)}
+    assert {(r["candidate"], r["fact"], r["rank"], r["score"]) for r in got.collect()} == want
+    # ranked rows are distinct profiles: the plan groups both sides before the block join
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    join = plan[plan.index("(c_k"):] if "(c_k" in plan else plan
+    assert join.count("Aggregate") >= 2
