@@ -9,6 +9,8 @@ counter is all that reaches the driver.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -41,30 +43,32 @@ def _order(t: Column, key: Column) -> Column:
     return F.struct(F.coalesce(t, F.lit((1 << 62))).alias("t"), key.cast("string").alias("s"))
 
 
-def _nearest(posts: DataFrame, width: int | None) -> DataFrame:
-    """For each undecided row the first head and the first undecided row before it that share a key, at most ``width`` microseconds away.
+def _posts(rows: DataFrame, width: int | None) -> DataFrame:
+    """``place, t, key, block`` of each key of the rows; blocks of time are as wide as the window."""
+    block = F.lit(0).cast("long") if width is None else F.floor(F.col("t") / width)
+    return rows.select("place", "t", block.alias("block"), F.explode("keys").alias("key"))
+
+
+def _near_heads(rows: DataFrame, heads: DataFrame, width: int | None) -> DataFrame:
+    """``place, head``: the heads before each row that it shares a key with, less than ``width`` microseconds away.
 
-    Windows of time are cut into blocks of that width: a window is the end of
-    one block and the start of the next, and each part is one running minimum.
+    Heads of one key are that far apart, so a row meets two at most by each of its keys.
     """
-    is_head, is_open = (F.when((F.col("status") == s) & ~F.col("probe"), F.col("ord")) for s in (1, 0))
-    if width is None:
-        rows = posts.withColumns({"block": F.lit(0).cast("long"), "at": F.col("ord.t"), "probe": F.lit(False)})
+    posts = _posts(heads, width)
+    if width is None:  # the first of a key is before a row if any is
+        ahead = posts.groupBy("key", "block").agg(F.min("place").alias("head"), F.min("t").alias("ht"))
     else:
-        own = posts.withColumns({"block": F.floor(F.col("ord.t") / width), "at": F.col("ord.t"), "probe": F.lit(False)})
-        start = F.col("ord.t") - width + 1
-        # only undecided rows ask
-        rows = own.unionByName(posts.where("status = 0").withColumns({"block": F.floor(start / width), "at": start, "probe": F.lit(True)}))
-    block = W.partitionBy("key", "block")
-    ahead = block.orderBy("at", "probe", "ord.s").rowsBetween(W.unboundedPreceding, -1)
-    back = block.orderBy(F.desc("at"), "probe").rowsBetween(W.unboundedPreceding, 0)
+        ahead = posts.select("key", F.explode(F.array("block", F.col("block") + 1)).alias("block"), F.col("place").alias("head"), F.col("t").alias("ht"))
+    close = F.lit(True) if width is None else F.col("t") - F.col("ht") < width
+    return _posts(rows, width).join(ahead, ["key", "block"]).where((F.col("head") < F.col("place")) & close).select("place", "head")
 
-    def side(what: Column) -> Column:
-        return F.when(F.col("probe"), F.min(what).over(back)).otherwise(F.min(what).over(ahead))
 
-    seen = rows.select("id", "ord", "status", side(is_head).alias("h"), side(is_open).alias("o")).where("status = 0")
-    before = lambda c: F.min(F.when(F.col(c) < F.col("ord"), F.col(c)))
-    return seen.groupBy("id").agg(before("h").alias("head"), before("o").alias("open"))
+def _waiting(rows: DataFrame, width: int | None) -> DataFrame:
+    """``place`` of the rows that have another before them that shares a key, less than ``width`` microseconds away: of each key the last one before tells."""
+    posts = rows.select("place", "t", F.explode("keys").alias("key"))
+    last = F.lag("t").over(W.partitionBy("key").orderBy("place"))
+    waits = last.isNotNull() if width is None else F.col("t") - last < width
+    return posts.select("place", waits.alias("waits")).where("waits").select("place").distinct()
 
 
 def greedy_heads(nodes: DataFrame, posts: DataFrame, width: int | None) -> DataFrame:
@@ -72,21 +76,32 @@ def greedy_heads(nodes: DataFrame, posts: DataFrame, width: int | None) -> DataF
 
     ``nodes``: ``id, ord, status, head``, ``status`` 1 for rows that are heads
     beforehand and 0 for others; ``posts``: ``id, key``. Pairs are never formed:
-    rows meet in the posting list of a key and ask for the first head before them.
+    rows meet in the posting list of a key. A row with any head before it can't
+    be one and keeps nobody waiting, whichever its first head will be; first
+    heads are looked up at the end, when all heads are known.
     """
-    shared = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    posts = cut(posts.join(shared, "key"))
-    state = cut(nodes)
-    while True:
-        near = _nearest(posts.join(state.select("id", "ord", "status"), "id"), width)
-        joined = state.join(near.withColumnsRenamed({"id": "__id", "head": "__head"}), F.col("id") == F.col("__id"), "left")
-        alone = F.col("__head").isNull() & F.col("open").isNull()
-        joins = F.col("__head").isNotNull() & (F.col("open").isNull() | (F.col("__head") < F.col("open")))
-        status = F.when(F.col("status") != 0, F.col("status")).when(alone, 1).when(joins, 2).otherwise(0)
-        head = F.when(F.col("status") != 0, F.col("head")).when(alone, F.col("ord")).when(joins, F.col("__head"))
-        state = cut(joined.select("id", "ord", status.alias("status"), head.alias("head")))
-        if not state.where("status = 0").limit(1).count():
-            return state
+    # places are ids that rise along the order, as the parts of a sort do
+    placed = cut(nodes.orderBy("ord").withColumn("place", F.monotonically_increasing_id()))
+    shared = cut(posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.monotonically_increasing_id().alias("number")))
+    listed = posts.join(shared, "key").groupBy("id").agg(F.collect_list("number").alias("keys")).withColumnRenamed("id", "__id")
+    rows = cut(placed.join(listed, F.col("id") == F.col("__id"), "left").select(
+        "place", F.col("ord.t").alias("t"), "status", F.coalesce("keys", F.array().cast("array<bigint>")).alias("keys")))
+    live, new = rows.where("status = 0"), rows.where("status = 1")
+    heads = [new]
+    while live.limit(1).count():
+        if new.limit(1).count():
+            live = cut(live.join(_near_heads(live, new, width).select("place").distinct(), "place", "left_anti"))
+        waiting = _waiting(live, width).withColumnRenamed("place", "__place")
+        told = cut(live.join(waiting, F.col("place") == F.col("__place"), "left").select("place", "t", F.when(F.col("__place").isNull(), 1).otherwise(0).alias("status"), "keys"))
+        live, new = told.where("status = 0"), told.where("status = 1")
+        heads.append(new)
+    all_ = cut(reduce(DataFrame.unionByName, heads).select("place", "t", "keys"))
+    others = rows.where("status = 0").join(all_, "place", "left_anti")
+    first = _near_heads(others, all_, width).groupBy("place").agg(F.min("head").alias("near"))
+    joins = first.join(placed.select(F.col("place").alias("near"), F.col("ord").alias("__head")), "near").select(F.col("place").alias("__place"), "__head")
+    joined = placed.join(joins, F.col("place") == F.col("__place"), "left")
+    found = F.when(F.col("status") != 0, F.col("head")).otherwise(F.coalesce("__head", "ord"))
+    return cut(joined.select("id", "ord", F.when((F.col("status") == 0) & F.col("__head").isNotNull(), 2).otherwise(1).alias("status"), found.alias("head")))
 
 
 def phrase_heads(clusters: DataFrame, days: int = 7, least: int = 6) -> DataFrame:

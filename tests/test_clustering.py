@@ -89,6 +89,27 @@ def test_layers_equal_the_sequential_pass(spark):
         assert dict(clustering.layered_clusters(df).select("id", "cluster").collect()) == sequential_layers(rows), seed
 
 
+def test_a_row_with_a_head_keeps_nobody_waiting(spark, monkeypatch):
+    """A chain x0, x1, ... each of whose rows has a head of its own takes a few rounds, not one for each row."""
+    cuts, real = [], clustering.cut
+    monkeypatch.setattr(clustering, "cut", lambda df: cuts.append(1) or real(df))
+    posts, order, expected = [], {}, {0: 0}
+    for i in range(20):
+        order[i] = 2 * i
+        posts += [(i, f"x{i}"), (i, f"x{i - 1}"), (i, f"h{i}")]
+        if i:
+            order[100 + i] = 2 * i - 1
+            posts.append((100 + i, f"h{i}"))
+            expected |= {i: 0 if i == 1 else 100 + i, 100 + i: 100 + i}
+    nodes = spark.createDataFrame(list(order.items()), "id long, t long").select(
+        "id", F.struct("t", F.col("id").cast("string").alias("s")).alias("ord"), F.lit(0).alias("status"), F.lit(None).cast("struct<t: bigint, s: string>").alias("head"))
+    for width in (1000, None):
+        cuts.clear()
+        found = clustering.greedy_heads(nodes, spark.createDataFrame(posts, "id long, key string"), width)
+        assert {x["id"]: int(x["head"]["s"]) for x in found.collect()} == expected
+        assert len(cuts) < 12
+
+
 def sequential_cliques(order, edges):
     clusters = []
     for i in order:
