@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -82,22 +83,22 @@ def quotes(text: Column) -> Column:
 
 
 def _any(text: Column, words: tuple) -> Column:
-    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w)) if words else F.lit(False)
+    return reduce(Column.__or__, [F.contains(text, F.lit(w)) for w in words], F.lit(False))
 
 
 def _first(text: Column, words: tuple) -> Column:
     """The first word of the table that the text contains; null if none."""
-    return F.try_element_at(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w)), F.lit(1))
+    return F.coalesce(*[F.when(F.contains(text, F.lit(w)), F.lit(w)) for w in words], F.lit(None).cast("string"))
 
 
 def _starts(text: Column, words: tuple) -> Column:
-    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.startswith(text, w))
+    return reduce(Column.__or__, [F.startswith(text, F.lit(w)) for w in words], F.lit(False))
 
 
 def _before(text: Column, words: tuple) -> Column:
     """The name, 12 characters at most, that ends right before the first word of the table that has one before it."""
-    names = F.transform(F.array(*[F.lit(w) for w in words]), lambda w: F.regexp_extract(F.substring(text, F.lit(1), F.greatest(F.instr(text, w) - 1, F.lit(0))), f"({NAME}{{1,12}})$", 1))
-    return F.coalesce(F.try_element_at(F.filter(names, lambda x: x != ""), F.lit(1)), F.lit(""))
+    name = lambda w: F.regexp_extract(F.substring(text, F.lit(1), F.instr(text, F.lit(w)) - 1), f"({NAME}{{1,12}})$", 1)
+    return F.coalesce(*[F.when(F.contains(text, F.lit(w)), F.nullif(name(w), F.lit(""))) for w in words], F.lit(""))
 
 
 def assertions(articles: DataFrame, markers: Markers = Markers(), delimiters: str = DELIMITERS, opening: str = OPEN, closing: str = CLOSE) -> DataFrame:
@@ -117,12 +118,14 @@ def assertions(articles: DataFrame, markers: Markers = Markers(), delimiters: st
     base = articles.select("id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("summary", F.lit("")).alias("summary"), F.coalesce("subject", F.lit("")).alias("subject"), F.coalesce("known", F.array().cast("array<string>")).alias("known"))
     parts = base.select("*", clauses(F.col("title"), delimiters, opening, closing).alias("head"), clauses(F.col("summary"), delimiters, opening, closing).alias("body"))
     c = F.col("clause")
-    every = parts.select("id", "subject", "known", F.posexplode_outer(F.concat("head", "body")).alias("pos", "clause"), F.col("title"))
+    # the first row of each article has no clause and stands for the article
+    own_row = F.array(F.lit(None).cast("string"))
+    every = parts.select("id", "subject", "known", F.posexplode(F.concat(own_row, "head", "body")).alias("pos", "clause"), "title").withColumn("pos", F.col("pos") - 1)
     tail = "(" + "|".join(m.suffixes) + ")$"
     colon = F.regexp_extract(c, f"({NAME}{{1,12}}?){COLON}", 1)
     verb, ordered = _first(c, m.statement), tuple(sorted(m.statement, key=len, reverse=True))
     named = _before(c, ordered)
-    facts = every.where("clause is not null").withColumns({
+    facts = every.withColumns({
         "uncertain": _any(c, m.uncertain), "charge": _first(c, m.allegation), "denies": _any(c, m.denial), "colon": colon, "has_colon": c.contains("：") | c.contains(":"), "verb": verb,
         "own": F.when(F.array_contains("known", named), named).otherwise(""), "denier": _before(c, m.denying), "linked": _starts(c, m.connectors),
         "media": _any(c, m.media), "planned": _any(c, m.planned), "seen": _first(c, m.observed),
@@ -140,6 +143,11 @@ def assertions(articles: DataFrame, markers: Markers = Markers(), delimiters: st
     )
     may_carry = F.col("early").isNull() & F.col("verb").isNotNull() & F.col("linked")
     told = facts.withColumns({"early": early, "late": late, "own_speaker": speaker}).withColumn("may_carry", may_carry)
+    # other clauses neither say anything nor name a speaker; what needs the title and the known names is settled before the shuffle
+    told = told.withColumns({
+        "field": F.when(F.instr("title", c) > 0, "title").otherwise("summary"), "title": F.when(c.isNull(), F.col("title")), "known": F.when(F.col("linked") | F.col("has_colon"), F.array().cast("array<string>")).otherwise(F.col("known"))})
+    # a generator, as a filter would be pushed below the tables and evaluate them anew
+    told = told.select(F.inline(F.when(F.expr("clause is null or early is not null or late is not null or may_carry"), F.array(F.struct(*told.columns)))))
     sets = F.when(F.col("early").isNotNull(), F.nullif("own_speaker", F.lit(""))).when(F.col("late").isNotNull(), F.col("mentioned"))
     earlier = W.partitionBy("id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
     # a clause that could carry a speaker names one only if there is none to carry
@@ -161,21 +169,24 @@ def assertions(articles: DataFrame, markers: Markers = Markers(), delimiters: st
     )
     risk = F.when(F.col("kind").isin("uncertain_report", "allegation"), "unverified").when(F.col("kind") == "media_interpretation", "interpretation").when(F.col("kind") == "planned_action", "future")
     anonymous = (F.col("kind") == "actor_statement") & ((F.col("speaker") == "") | (~F.array_contains("known", F.col("speaker")) & ~F.col("linked") & ~F.col("has_colon")))
-    worded = said.where(F.col("kind").isNotNull() & ~anonymous).select(
-        "id", "pos", "kind", predicate.alias("predicate"), "speaker", "subject", source.alias("source"), "clause", F.when(F.instr("title", c) > 0, "title").otherwise("summary").alias("field"),
+    worded = said.where(c.isNull() | (F.col("kind").isNotNull() & ~anonymous)).select(
+        "id", "pos", "kind", predicate.alias("predicate"), "speaker", "subject", source.alias("source"), "clause", "field", "title",
         F.array_compact(F.array(risk, F.when(_any(c, m.hedges), "hedged"))).alias("risks"), F.array(reason).alias("reasons"),
     )
     full = F.when((F.col("subject") != "") | (F.col("predicate") != ""), F.concat("subject", "predicate", F.substring("source", 1, 80))).otherwise(F.substring("source", 1, 150))
-    shown = worded.select("id", "pos", "kind", "predicate", "speaker", F.substring(full, 1, 200).alias("text"), F.substring("source", 1, 80).alias("object"), "field", F.substring("clause", 1, 200).alias("clause"), "risks", "reasons")
-    once = shown.withColumn("__n", F.row_number().over(W.partitionBy("id", "kind", "text").orderBy("pos"))).where("__n = 1").drop("__n")
+    shown = worded.select("id", "pos", "kind", "predicate", "speaker", F.substring(full, 1, 200).alias("text"), F.substring("source", 1, 80).alias("object"), "field", F.substring("clause", 1, 200).alias("clause"), "risks", "reasons", "title")
+    once = shown.withColumn("__n", F.row_number().over(W.partitionBy("id", "kind", "text").orderBy("pos"))).where("__n = 1 or kind is null")
+    counted = once.withColumn("__said", F.count("kind").over(W.partitionBy("id"))).where("kind is not null or __said = 0 or id is null")
+    silent = lambda value, name: F.when(F.col("kind").isNull(), value).otherwise(F.col(name)).alias(name)
     none = F.array().cast("array<string>")
-    silent = base.join(once.select(F.col("id").alias("__id")).distinct(), F.col("id") == F.col("__id"), "left_anti").select(
-        "id", F.lit(-1).alias("pos"), F.lit("unknown").alias("kind"), F.lit("").alias("predicate"), F.lit("").alias("speaker"), F.substring("title", 1, 150).alias("text"), F.substring("title", 1, 80).alias("object"),
-        F.lit("title").alias("field"), F.substring("title", 1, 200).alias("clause"), F.array(F.lit("unknown_kind")).alias("risks"), none.alias("reasons"))
+    title = lambda n: F.substring("title", 1, n)
+    found = counted.select(
+        "id", "pos", F.coalesce("kind", F.lit("unknown")).alias("kind"), silent(F.lit(""), "predicate"), silent(F.lit(""), "speaker"), silent(title(150), "text"), silent(title(80), "object"),
+        silent(F.lit("title"), "field"), silent(title(200), "clause"), silent(F.array(F.lit("unknown_kind")), "risks"), silent(none, "reasons"))
     sure = F.lit(None).cast("double")
     for name, value in CONFIDENCE.items():
         sure = F.when(F.col("kind") == name, value).otherwise(sure)
-    return once.unionByName(silent).withColumn("confidence", sure)
+    return found.withColumn("confidence", sure)
 
 
 def _denied(text: Column, words: tuple) -> Column:

@@ -61,3 +61,10 @@ def test_profile_and_empty_table(spark):
     found = {r["id"]: r for r in A.profile(A.assertions(data)).collect()}
     assert (found[1]["allegation"], found[1]["observed_fact"], found[1]["unknown"], found[1]["risks"]) == (1, 1, 0, "hedged|unverified") and found[2]["unknown"] == 1
     assert A.profile(A.assertions(data.limit(0))).count() == 0
+
+
+def test_articles_are_read_and_cut_once(spark):
+    """Silent articles come from the same pass: texts are cut once and rows are dealt by id once."""
+    rows = spark.range(3).selectExpr("id", "'a表示b。c' title", "'' summary", "'' subject", "array('a') known")
+    plan = A.assertions(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
