@@ -1,79 +1,89 @@
-"""JSON documents: nodes down to any depth, canonical forms, differences by path, and objects found within text."""
+"""JSON documents of any depth: canonical forms, differences by path, values by name, and objects found within text."""
 
 from __future__ import annotations
 
 import json
 import re
+import sys
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from newsloom.storage import cut
+from newsloom.storage import bounded_batches
 
 
-def _scalar(v: Column, kind: Column) -> Column:
-    """Canonical text of a scalar: numbers without trailing zeros, strings quoted, null and '' alike."""
-    text = F.try_variant_get(v, "$", "string")
-    plain = F.regexp_replace(F.regexp_replace(text, "(\\.\\d*?)0+$", "$1"), "\\.$", "")
-    number = kind.rlike("^(DECIMAL|DOUBLE|FLOAT|BIGINT)")
-    return F.when((kind == "VOID") | ((kind == "STRING") & (text == "")), "null").when(number, plain).when(kind == "STRING", F.to_json(v)).otherwise(text)
+class _Number(str):
+    """The digits of a number as VARIANT writes them."""
 
 
-def nodes(df: DataFrame, key: str, column: str, drop: tuple[str, ...] = ()) -> list[DataFrame]:
-    """The JSON values of a text column level by level: ``id, node, parent, name, listed, kind, value``.
+#: Numbers keep their digits: no float rounds them.
+DECODER = json.JSONDecoder(parse_int=_Number, parse_float=_Number)
+_ESCAPES = {i: f"\\u{i:04X}" for i in range(32)} | {ord(c): "\\" + e for c, e in zip('"\\\b\t\n\f\r', '"\\btnfr', strict=True)}
+
+
+def _quoted(text: str) -> str:
+    return f'"{text.translate(_ESCAPES)}"'
+
+
+def _parsed(text: str):
+    """The value of a text as ``_plain`` gives it; frames for as many levels as VARIANT takes."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 8000))
+    return DECODER.decode(text)
+
+
+def canonical(x, drop: tuple[str, ...] = ()) -> str:
+    """Canonical text of a JSON value: keys sorted, lists as sorted multisets, numbers without trailing zeros, null and '' alike."""
+    if isinstance(x, dict):
+        return "{" + ",".join(sorted([f'{{"name":{_quoted(k)}}}:{canonical(v, drop)}' for k, v in x.items() if k not in drop])) + "}"
+    if isinstance(x, list):
+        return "[" + ",".join(sorted([canonical(v, drop) for v in x])) + "]"
+    if isinstance(x, bool):
+        return "true" if x else "false"
+    if isinstance(x, _Number):
+        return re.sub(r"(\.\d*?)0+$", r"\1", x).removesuffix(".")
+    return _quoted(x) if x else "null"
 
-    ``node`` and ``parent`` are paths as arrays, list elements by position;
-    ``listed``: at or below an element of a list. Kinds are object, list, scalar,
-    and invalid for text that isn't JSON (at the root). Object keys among ``drop``
-    are left out with all below them. Null documents have no nodes.
-    """
-    level = df.where(F.col(column).isNotNull()).select(F.col(key).alias("id"), F.array(F.lit("")).alias("node"), F.lit(None).cast("array<string>").alias("parent"), F.lit("").alias("name"), F.lit(False).alias("listed"), F.try_parse_json(column).alias("v"))
-    found = []
-    spark = df.sparkSession
-    while True:
-        shape = F.schema_of_variant("v")
-        kind = F.when(F.col("v").isNull(), "invalid").when(shape.startswith("OBJECT"), "object").when(shape.startswith("ARRAY"), "list").otherwise("scalar")
-        level = cut(level.withColumn("kind", kind).withColumn("value", F.when(F.col("kind") == "scalar", _scalar(F.col("v"), shape)).when(F.col("kind") == "invalid", "invalid")))
-        found.append(level.drop("v"))
-        inner = level.where("kind in ('object', 'list')")
-        if not inner.limit(1).count():
-            return found
-        below = inner.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
-        named = F.coalesce(F.col("key"), F.col("pos").cast("string"))
-        # the value column of this level is taken by the exploded one
-        level = below.toDF("id", "node", "parent", "name", "listed", "v", "kind", "value", "pos", "key", "child").where(~F.coalesce(F.col("key").isin(*drop), F.lit(False)) if drop else F.lit(True)).select(
-            "id", F.array_append("node", named).alias("node"), F.col("node").alias("parent"), named.alias("name"), (F.col("listed") | (F.col("kind") == "list")).alias("listed"), F.col("child").alias("v"))
-
-
-def canonical_nodes(levels: list[DataFrame]) -> list[DataFrame]:
-    """The levels with ``form``: the canonical text of each node and all below it, keys sorted and lists as sorted multisets."""
-    out, below = [], None
-    for level in reversed(levels):
-        if below is None:
-            formed = level.withColumn("form", F.when(F.col("kind") == "object", "{}").when(F.col("kind") == "list", "[]").otherwise(F.col("value")))
-        else:
-            parts = below.groupBy(F.col("id").alias("__id"), F.col("parent").alias("__node")).agg(
-                F.array_join(F.array_sort(F.collect_list(F.concat(F.to_json(F.struct("name")), F.lit(":"), "form"))), ",").alias("__object"), F.array_join(F.array_sort(F.collect_list("form")), ",").alias("__list"))
-            joined = level.join(parts, (F.col("id") == F.col("__id")) & (F.col("node") == F.col("__node")), "left")
-            formed = joined.withColumn("form", F.when(F.col("kind") == "object", F.concat(F.lit("{"), F.coalesce("__object", F.lit("")), F.lit("}"))).when(F.col("kind") == "list", F.concat(F.lit("["), F.coalesce("__list", F.lit("")), F.lit("]"))).otherwise(F.col("value"))).drop("__id", "__node", "__object", "__list")
-        below = formed
-        out.append(formed)
-    return out[::-1]
+
+def differences(a, b, drop: tuple[str, ...], at: tuple[str, ...] = ()) -> list[tuple[str, str]]:
+    """(path, change) of two JSON values, highest paths only."""
+    if isinstance(a, dict) and isinstance(b, dict):
+        out = []
+        for k in a.keys() | b.keys():
+            if k in drop:
+                continue
+            if k in a and k in b:
+                out += differences(a[k], b[k], drop, (*at, k))
+            else:
+                out.append((".".join((*at, k)), "removed" if k in a else "added"))
+        return out
+    return [] if canonical(a, drop) == canonical(b, drop) else [(".".join(at) if at else ".", "changed")]
+
+
+def _plain(column: Column) -> Column:
+    """JSON text as VARIANT reads it; '' for text that isn't JSON."""
+    return F.coalesce(F.to_json(F.try_parse_json(column)), F.lit(""))
+
+
+def _documents(df: DataFrame, key: str, column: str) -> DataFrame:
+    bounded_batches(df.sparkSession)
+    return df.where(F.col(column).isNotNull()).select(F.col(key).alias("id"), _plain(F.col(column)).alias("text"))
 
 
 def canonical_hash(df: DataFrame, key: str, column: str, drop: tuple[str, ...] = ()) -> DataFrame:
-    """``id, hash``: a hash that is equal for JSON documents that say the same, whatever their order, blanks, nulls or metadata keys."""
-    return canonical_nodes(nodes(df, key, column, drop))[0].select("id", F.sha2("form", 256).alias("hash"))
+    """``id, hash``: a hash that is equal for JSON documents that say the same, whatever their order, blanks, nulls or metadata keys.
+
+    Null documents have no row; all texts that aren't JSON have one hash.
+    """
 
+    @F.pandas_udf("string")
+    def form(texts: pd.Series) -> pd.Series:
+        return pd.Series([canonical(_parsed(t), drop) if t else "invalid" for t in texts], dtype=object)
 
-def path_rows(df: DataFrame, key: str, column: str, drop: tuple[str, ...] = ()) -> DataFrame:
-    """``id, node, parent, kind, form`` of all nodes outside lists; a list is one node with its canonical form."""
-    out = None
-    for level in canonical_nodes(nodes(df, key, column, drop)):
-        rows = level.where("not listed").select("id", "node", "parent", "kind", "form")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return _documents(df, key, column).select("id", F.sha2(form("text"), 256).alias("hash"))
 
 
 def path_diff(before: DataFrame, after: DataFrame, key: str, column: str, drop: tuple[str, ...] = ()) -> DataFrame:
@@ -82,25 +92,48 @@ def path_diff(before: DataFrame, after: DataFrame, key: str, column: str, drop:
     Only objects are gone into; lists are equal as sorted lists, null and '' are
     equal, a missing key and a null one aren't. Below a path that differs no other
     is named. Change is added, removed or changed; a document that one side lacks
-    differs as a whole.
+    differs as a whole. The versions meet once, by id, and are gone through row by row.
     """
-    a, b = (path_rows(x, key, column, drop).select(*[F.col(c).alias(f"{n}_{c}") for c in ("id", "node", "parent", "kind", "form")]) for n, x in (("a", before), ("b", after)))
-    both = cut(a.join(b, (F.col("a_id") == F.col("b_id")) & (F.col("a_node") == F.col("b_node")), "full").select(
-        F.coalesce("a_id", "b_id").alias("id"), F.coalesce("a_node", "b_node").alias("node"), F.coalesce("a_parent", "b_parent").alias("parent"), "a_kind", "b_kind", "a_form", "b_form"))
-    open_ = both.where("a_kind = 'object' and b_kind = 'object'").select(F.col("id").alias("oid"), F.col("node").alias("onode"))
-    differs = both.where("a_kind is null or b_kind is null or (a_form <> b_form and not (a_kind = 'object' and b_kind = 'object'))")
-    seen = differs.join(open_, (F.col("id") == F.col("oid")) & (F.col("parent") == F.col("onode")), "left").where("parent is null or oid is not null")
-    path = F.when(F.size("node") == 1, ".").otherwise(F.array_join(F.slice("node", 2, F.size("node")), "."))
-    return seen.select("id", path.alias("path"), F.when(F.col("a_kind").isNull(), "added").when(F.col("b_kind").isNull(), "removed").otherwise("changed").alias("change"))
+    a, b = _documents(before, key, column), _documents(after, key, column)
+    both = a.toDF("a_id", "a").join(b.toDF("b_id", "b"), F.col("a_id") == F.col("b_id"), "full").select(F.coalesce("a_id", "b_id").alias("id"), "a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found = [], []
+            for i, (one, two) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if one == two:
+                    continue
+                if one and two:
+                    own = differences(_parsed(one), _parsed(two), drop)
+                else:
+                    own = [(".", "added" if one is None else "removed" if two is None else "changed")]
+                at += [i] * len(own)
+                found += own
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array([x[c] for x in found], pa.string()) for c in (0, 1))], names=["id", "path", "change"])
+
+    return both.mapInArrow(run, T.StructType([both.schema["id"], T.StructField("path", T.StringType()), T.StructField("change", T.StringType())]))
 
 
 def values_of(df: DataFrame, key: str, column: str, name: str) -> DataFrame:
-    """``id, node, form``: every value of an object key of that name, at any depth, inside lists too."""
-    out = None
-    for level in canonical_nodes(nodes(df, key, column))[1:]:
-        rows = level.where(F.col("name") == name).select("id", "node", "form")
-        out = rows if out is None else out.unionByName(rows)
-    return out if out is not None else df.select(F.col(key).alias("id"), F.array().cast("array<string>").alias("node"), F.lit("").alias("form")).limit(0)
+    """``id, node, form``: every value of an object key of that name, at any depth, inside lists too; ``node`` is its path, list elements by position."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, nodes, forms = [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                todo = [([""], _parsed(text))] if text else []
+                while todo:
+                    node, x = todo.pop()
+                    for k, v in x.items() if isinstance(x, dict) else enumerate(x) if isinstance(x, list) else ():
+                        todo.append(([*node, str(k)], v))
+                        if k == name:
+                            at.append(i)
+                            nodes.append(todo[-1][0])
+                            forms.append(canonical(v))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(nodes, pa.list_(pa.string())), pa.array(forms, pa.string())], names=["id", "node", "form"])
+
+    docs = _documents(df, key, column)
+    return docs.mapInArrow(run, T.StructType([docs.schema["id"], T.StructField("node", T.ArrayType(T.StringType())), T.StructField("form", T.StringType())]))
 
 
 def objects_in(text: str) -> list[str]:

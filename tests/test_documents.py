@@ -79,6 +79,23 @@ def test_path_diff_equals_recursion(spark):
     assert documents.path_diff(before.limit(0), after.limit(0), "k", "j").count() == 0
 
 
+def test_depth_costs_no_rounds(spark, monkeypatch):
+    rounds = []
+    # every level of the deepest document used to be a checkpoint and a shuffle
+    monkeypatch.setattr(documents, "cut", lambda df: rounds.append(1) or df, raising=False)
+    deep = lambda leaf: '{"a":[' * 60 + leaf + "]}" * 60
+    under = lambda leaf: '{"a":' * 400 + leaf + "}" * 400
+    one = [(1, deep("1.50")), (2, deep("1.5")), (3, under("10")), (4, '{"b":12345678901234567890.10,"c":"\\u001f"}'), (5, "[1,[2,1]]"), (6, '{"a":1,"a":2}')]
+    two = [(1, deep("1.5")), (2, deep('"1.5"')), (3, under("1e2")), (4, '{"c":"\\u001F","b":12345678901234567890.2}'), (5, "[[1.0,2.00],1]"), (6, "no")]
+    a, b = (spark.createDataFrame(x, "k long, j string") for x in (one, two))
+    assert sorted(map(tuple, documents.path_diff(a, b, "k", "j").collect())) == [(2, "a", "changed"), (3, ".".join("a" * 400), "changed"), (4, "b", "changed")]
+    first, second = ({x["id"]: x["hash"] for x in documents.canonical_hash(d, "k", "j").collect()} for d in (a, b))
+    assert {k for k in first if first[k] == second[k]} == {1, 5, 6}
+    got = [tuple(x) for x in documents.values_of(a.where("k = 5").unionByName(spark.createDataFrame([(7, '{"x":[{"a":[2,1.0]}]}')], "k long, j string")), "k", "j", "a").collect()]
+    assert got == [(7, ["", "x", "0", "a"], "[1,2]")]
+    assert not rounds
+
+
 def scan(text):
     """Character by character."""
     found, depth, start, inside, escaped = [], 0, 0, False, False
