@@ -12,11 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.storage import cut
+from newsloom.storage import cut, only
 
 #: What cites facts, what marks a statement as somebody's.
 FACTS = ("event", "poll")
 ATTRIBUTION = ("表示", "称", "指出", "指称", "宣称", "声称", "指控", "公开指控", "重申")
+#: Tokens of the left side that are broadcast at most, some 20 bytes each.
+FEW = 500_000
 NUMBER, DAY = r"\d[\d,]*(?:\.\d+)?%?", r"\d{4}-\d{2}-\d{2}"
 
 
@@ -35,27 +37,39 @@ def overlap_pairs(left: DataFrame, right: DataFrame, percent: int, same: bool =
     / 100 of its size) tokens in common, so one is among its n - c + 1 rarest: these
     are joined with all tokens of the sets that aren't smaller. (Prefixes of both
     sides, right for Jaccard, would lose pairs, as the larger set bounds nothing.)
-    Sets without tokens match nothing.
+    Sets without tokens match nothing. Each text is read once: of the right side only
+    tokens of the left stay, with the full size of their set; tokens that one side
+    lacks are the rarest of all and are left out. Left sides of up to ``FEW`` tokens
+    are broadcast, larger ones are joined by shuffles.
     """
-    sides = {}
-    for name, frame in (("a", left), ("b", right)):
-        sides[name] = frame.select(F.col("id").alias(name), F.array_distinct(F.coalesce("tokens", F.array().cast("array<string>"))).alias("s")).where("size(s) > 0")
-    each = [f.select(F.explode("s").alias("token")) for f in sides.values()]
-    common_in = (each[0] if same else each[0].unionByName(each[1])).groupBy("token").agg(F.count("*").alias("df"))
-
-    def prefixes(name: str) -> DataFrame:
-        tokens = sides[name].select(name, F.size("s").alias(f"n{name}"), F.explode("s").alias("token")).join(common_in, "token")
-        ranked = tokens.groupBy(name, f"n{name}").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("r"))
-        n = F.col(f"n{name}")
-        return ranked.select(name, f"n{name}", F.explode(F.slice("r", 1, (n - F.ceil(n * percent / 100) + 1).cast("int"))["token"]).alias("token"))
-
-    whole = {name: f.select(name, F.size("s").alias(f"n{name}"), F.explode("s").alias("token")) for name, f in sides.items()}
-    met = prefixes("a").join(whole["b"], "token").where("na <= nb").select("a", "b").unionByName(whole["a"].join(prefixes("b"), "token").where("nb < na").select("a", "b"))
+    column = F.array_distinct(F.coalesce("tokens", F.array().cast("array<string>")))
+
+    def exploded(frame: DataFrame, name: str) -> DataFrame:
+        # the size has a projection of its own, as the rows of an explode would carry the whole set else; Spark infers a filter from a plain explode, which makes the sets anew
+        return frame.select(F.col("id").alias(name), column.alias("s")).select(name, F.size("s").alias(f"n{name}"), "s").select(name, f"n{name}", F.explode_outer("s").alias("token")).where("token is not null")
+
+    one = cut(exploded(left, "a"))
+    two = one if same else cut(only(exploded(right, "b"), one.select("token"), "token", FEW))
+    common_in = two.groupBy("token").agg(F.count("*").alias("df")).where(f"df > {int(same)}")
+    small = one.limit(FEW + 1).count() <= FEW
+    hint = F.broadcast if small else lambda df: df
+
+    def ranked(tokens: DataFrame, name: str) -> DataFrame:
+        need = F.ceil(F.col(f"n{name}") * percent / 100)
+        rows = tokens.join(hint(common_in), "token").groupBy(name, f"n{name}").agg(F.array_sort(F.collect_list(F.struct("df", "token")))["token"].alias(f"s{name}"))
+        return cut(rows.withColumn(f"p{name}", (F.size(f"s{name}") - need + 1).cast("int")))
+
+    a = ranked(one, "a")
+    b = a.toDF("b", "nb", "sb", "pb") if same else ranked(two, "b")
+    whole = {name: f.select(name, f"n{name}", F.explode(f"s{name}").alias("token")) for name, f in (("a", a), ("b", b))}
+    prefix = {name: f.where(f"p{name} > 0").select(name, f"n{name}", F.explode(F.slice(f"s{name}", 1, F.col(f"p{name}"))).alias("token")) for name, f in (("a", a), ("b", b))}
+    met = whole["b"].join(hint(prefix["a"]), "token").where("na <= nb").select("a", "b").unionByName(prefix["b"].join(hint(whole["a"]), "token").where("nb < na").select("a", "b"))
     if same:
         met = met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = met.distinct().join(sides["a"].withColumnRenamed("s", "sa"), "a").join(sides["b"].withColumnRenamed("s", "sb"), "b")
-    common, smaller = F.size(F.array_intersect("sa", "sb")), F.least(F.size("sa"), F.size("sb"))
-    return pairs.where(100 * common >= percent * smaller).select("a", "b", common.cast("long").alias("common"), smaller.cast("long").alias("smaller"))
+    # each right set travels once to all it has met
+    pairs = met.groupBy("b").agg(F.collect_set("a").alias("met")).join(b.drop("pb"), "b").select("b", "nb", "sb", F.explode("met").alias("a")).join(hint(a.drop("pa")), "a")
+    shared, smaller = F.size(F.array_intersect("sa", "sb")), F.least("na", "nb")
+    return pairs.where(100 * shared >= percent * smaller).select("a", "b", shared.cast("long").alias("common"), smaller.cast("long").alias("smaller"))
 
 
 def issues(claims: DataFrame, refs: DataFrame, evidence: DataFrame, links: DataFrame, days: tuple[str, ...] = ()) -> DataFrame:

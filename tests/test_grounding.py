@@ -4,6 +4,7 @@ import difflib
 import random
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,6 +29,25 @@ def test_overlap_pairs_equal_all_pairs(spark, percent):
     assert grounding.overlap_pairs(a.limit(0), b, percent).count() == 0
 
 
+@pytest.mark.parametrize("few", [500_000, 3])
+def test_overlap_pairs_read_each_text_once(spark, monkeypatch, few):
+    monkeypatch.setattr(grounding, "FEW", few, raising=False)
+    r, read = random.Random(few), spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("array<string>")
+    def words(texts: pd.Series) -> pd.Series:
+        read.add(len(texts))
+        return texts.str.split()
+
+    one, two = sets(r, 20, "abcdefghijkl", 9), sets(r, 40, "abcdefghijklmnop", 12)
+    a, b = (spark.createDataFrame([(i, " ".join(s)) for i, s in x if s], "id long, text string") for x in (one, two))
+    one, two = ({i: set(s) for i, s in x if s} for x in (one, two))
+    found = {(x["a"], x["b"]): x["common"] for x in grounding.overlap_pairs(*(x.select("id", words("text").alias("tokens")) for x in (a, b)), 55).collect()}
+    assert found == {(i, j): len(s & t) for i, s in one.items() for j, t in two.items() if 100 * len(s & t) >= 55 * min(len(s), len(t))} and found
+    # each step used to read the texts again
+    assert read.value == len(one) + len(two)
+
+
 def test_bigrams(spark):
     row = spark.range(1).select(grounding.bigrams(F.lit("A-b 民，調")).alias("x"), grounding.bigrams(F.lit("a")).alias("y"), grounding.bigrams(F.lit(None).cast("string")).alias("z")).first()
     assert (row["x"], row["y"], row["z"]) == (["Ab", "b民", "民調"], [], [])
