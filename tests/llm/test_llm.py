@@ -10,6 +10,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from newsloom.llm import chat, decontam, kernel, licenses, linear, lm, near_dedup, pieces, quality_classifier, quality_rules, queries, sql, substring, toxicity
@@ -179,6 +180,21 @@ def test_groups_of_a_common_phrase(spark, monkeypatch, levels):
     assert [x[:2] for x in got] == want and all(n >= 59 for *_, n in got)
 
 
+def test_verification_reads_each_text_once(monkeypatch):
+    r, read, plain = np.random.default_rng(8), [], substring.Words
+    monkeypatch.setattr(substring, "Words", lambda *args: read.append(1) or plain(*args))
+    text = lambda n: [f"w{i}" for i in r.integers(0, 10**9, n)]
+    p, q = text(60), text(45)
+    # one and three share 60 words, one and four 45, which are too few
+    texts = [zstandard.compress(" ".join(x).encode()) for x in (text(30) + p + q, text(90), text(20) + p + text(9), q + text(50))]
+    pairs = [(a, b, 7, texts[a], texts[b]) for a in (0, 1) for b in (2, 3)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*pairs, strict=True)], names=["a", "b", "mark", "one", "two"])
+    got = [tuple(x.values()) for out in substring._verify(50, 5, 80)(iter([batch])) for x in out.to_pylist()]
+    assert got == [(2, 20, 80, 60, 0, 30, 90, 7)]
+    # later texts used to be read once a pair
+    assert len(read) == 4
+
+
 def test_one_choice_of_functions_each():
     for functions, n in substring.LEVELS:
         for root in range(substring.FIRST):
