@@ -180,6 +180,26 @@ def test_groups_of_a_common_phrase(spark, monkeypatch, levels):
     assert [x[:2] for x in got] == want and all(n >= 59 for *_, n in got)
 
 
+def test_pairs_of_a_common_phrase_do_not_grow_with_the_square(spark, monkeypatch):
+    """Before it and after it each text has words of two different others, so all that surrounds the phrase is shared, but with no single text."""
+    r, tried, plain = random.Random(12), [], substring.cut
+
+    def spy(rows):
+        out = plain(rows)
+        if out.columns == ["a", "b"]:
+            tried.append(out.count())
+        return out
+
+    monkeypatch.setattr(substring, "cut", spy)
+    phrase, n = prose(r, 24), 48
+    before, after = ([prose(r, 14) for _ in range(n // 2)] for _ in range(2))
+    texts = [f"{prose(r, 20)} {before[i // 2]} {phrase} {after[(i + 1) // 2 % (n // 2)]} {prose(r, 20)}" for i in range(n)]
+    texts.append(f"{prose(r, 9)} {before[5]} {phrase} {after[5]} {prose(r, 9)}")
+    got = found_in(spark, texts)
+    # 10 has both sides of the last text
+    assert [x[:2] for x in got] == [(10, n)] and sum(tried) < 6 * n
+
+
 def test_verification_reads_each_text_once(monkeypatch):
     r, read, plain = np.random.default_rng(8), [], substring.Words
     monkeypatch.setattr(substring, "Words", lambda *args: read.append(1) or plain(*args))
