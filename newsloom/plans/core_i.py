@@ -48,13 +48,23 @@ def notification_candidates(spark: SparkSession, d: str) -> DataFrame:
     return notifications.notification_candidates(events, members, results, seen)
 
 
+@query("""with x as (select o_orderkey as e, o_orderdate::date as day, o_orderpriority as type, unnest(list_distinct([o_custkey % 40, o_orderkey % 40])) as actor from orders) select a.e as a, b.e as b, count(*)::bigint as shared from x a join x b using (day, type, actor) where a.e < b.e group by 1, 2""")
+def shared_actor_twins(spark: SparkSession, d: str) -> DataFrame:
+    """Orders of one day and priority with an actor in common, as pairs."""
+    return notifications.shared_actor_pairs(_acting(spark, d))
+
+
+def _acting(spark: SparkSession, d: str) -> DataFrame:
+    actors = F.array(F.col("o_custkey") % 40, F.col("o_orderkey") % 40)
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("event"), F.col("o_orderdate").alias("day"), F.col("o_orderpriority").alias("type"), actors.alias("actors"))
+
+
 @query("""with o as (select o_orderkey as e, o_orderdate::date as day, o_orderpriority as type, list_sort(list_distinct([o_custkey % 40, o_orderkey % 40])) as actors from orders), x as (select e, day, type, unnest(actors) as actor from o),
 p as (select a.e as e, b.e as other, count(*) as shared from x a join x b using (day, type, actor) where a.e <> b.e group by 1, 2), n as (select e, count(*) as links, sum(shared) as shared from p group by e)
 select e as event, min(e) over (partition by day, type, actors) as class_id, coalesce(links, 0)::bigint as links, coalesce(shared, 0)::bigint as shared from o left join n using (e)""")
-def shared_actor_twins(spark: SparkSession, d: str) -> DataFrame:
+def shared_actor_links(spark: SparkSession, d: str) -> DataFrame:
     """How many orders of its day and priority have an actor in common with each order, with its class of equal sets."""
-    actors = F.array(F.col("o_custkey") % 40, F.col("o_orderkey") % 40)
-    return notifications.shared_actor_twins(table(spark, d, "orders").select(F.col("o_orderkey").alias("event"), F.col("o_orderdate").alias("day"), F.col("o_orderpriority").alias("type"), actors.alias("actors")))
+    return notifications.shared_actor_twins(_acting(spark, d))
 
 
 @query("""with r as (select user_id as parent, ts::date as day, event_type as text, value > 30 as rich, event_id as seq from events), m as (select *, bool_or(rich) over (partition by parent, day) as has_rich, row_number() over (partition by parent, day order by seq) as n, row_number() over (partition by parent, day, text order by rich desc, seq) as again from r)
