@@ -23,6 +23,10 @@ def floor_days(a: Column, b: Column) -> Column:
     return F.abs(F.floor((F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))) / 86_400_000_000))
 
 
+#: Up to how many days apart how close two times are.
+CLOSENESS = ((1, 1.0), (7, 0.7), (30, 0.3))
+
+
 def closeness(days: Column) -> Column:
     """1, 0.7, 0.3 or 0 at up to 1, 7, 30 days and beyond; 0 if unknown."""
     return F.when(days.isNull(), 0.0).when(days <= 1, 1.0).when(days <= 7, 0.7).when(days <= 30, 0.3).otherwise(0.0)
